@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, line_dedup, packing, simhash
+from lodestar.llm import decontamination, line_dedup, multiset_hash, packing, simhash, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_document_fingerprint": multiset_hash.op7_document_fingerprint,
+    "op9_warc": warc.op9_warc,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
