@@ -91,7 +91,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                     if out:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{top}/{name}")
+                    out = fs.open_output_stream(f"{top}/{name}", compression=None)
                 digest, own = payload_digest(payload), page_id == first
                 raw = _member(record(page_id, url, digest, payload if own else None, first))
                 out.write(raw)
