@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, language_id, line_dedup, multiset_hash, packing, quality, simhash, warc
+from lodestar.llm import decontamination, language_id, line_dedup, multiset_hash, packing, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_document_fingerprint": multiset_hash.op7_document_fingerprint,
     "op8_quality": quality.op8_quality,
