@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, language_id, line_dedup, multiset_hash, packing, quality, simhash, suffix_dedup, warc
+from lodestar.llm import decontamination, language_id, license_scan, line_dedup, multiset_hash, packing, quality, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
+    "op2_license_scan": license_scan.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op6_decontamination": decontamination.ORACLE,
     "op9_warc": warc.ORACLE,
