@@ -11,13 +11,13 @@ from lodestar.llm.shared import stage_table
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node that it knows."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = stage_table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")  # read anew, so that a join can split a hub
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node hands itself and its smaller neighbours to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = stage_table(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     passed = links.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return passed.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -2,10 +2,11 @@
 
 A 64-bit fingerprint is cut into DISTANCE // 2 + 1 segments, so that of two fingerprints within DISTANCE bits one
 segment differs by one bit at most. Each segment is indexed once for each of its bits taken as a wildcard; equal
-variants join and the pair is verified by the count of differing bits. Equal fingerprints are one node throughout.
+variants join and the pair is verified by the count of differing bits. In a variant those with its wildcard bit set meet
+those without; pairs that agree there meet once, in the segment as a whole. Equal fingerprints are one node throughout.
 
-Variants that more than BUCKET fingerprints share are not paired: their members are indexed whole, with every set of
-DISTANCE bits as wildcards. Fingerprints with such a key in common are within DISTANCE by construction (at most
+Variants in which a fingerprint would meet more than BUCKET others on average are not paired: their members are indexed
+whole, with every set of DISTANCE bits as wildcards. Fingerprints with such a key in common are within DISTANCE by construction (at most
 2 ** DISTANCE of them share one), so this exact way grows in proportion to the members, not with their square.
 
 A shingle is SHINGLE words in a row (all words of a shorter text); words are split at ASCII white space, A-Z lower-cased.
@@ -59,6 +60,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
 
 
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
 def _bit(position):
     return F.call_function("shiftleft", F.lit(1).cast("long"), position)
 
@@ -67,22 +72,29 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     """All links a, b between different fingerprints (column fp, no repeats), or for crowded variants links that join the same fingerprints."""
     n_segments = distance // 2 + 1
     edges = [BITS * i // n_segments for i in range(n_segments + 1)]
+    masks = [_signed((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
     fp, p = F.col("fp"), F.col("p")
-    segment = reduce(lambda rest, i: F.when(p < edges[i + 1], F.lit(((1 << edges[i + 1]) - (1 << edges[i]) + (1 << 63)) % (1 << 64) - (1 << 63))).otherwise(rest), range(n_segments - 2, -1, -1), F.lit(((1 << 64) - (1 << edges[-2]) + (1 << 63)) % (1 << 64) - (1 << 63)))
-    variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("p")).select("fp", p.cast("byte").alias("p"), fp.bitwiseAND(segment).bitwiseAND(F.bitwise_not(_bit(p))).alias("v"))
-    counts = variants.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # variants 0..63 leave out one bit of its segment, variants from 64 on are the segments themselves
+    segment = reduce(lambda rest, i: F.when(p < edges[i + 1], F.lit(masks[i])).otherwise(rest), range(n_segments - 2, -1, -1), F.lit(masks[-1]))
+    whole = reduce(lambda rest, i: F.when(p == BITS + i, F.lit(masks[i])).otherwise(rest), range(n_segments), segment)
+    wild = p < BITS
+    variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS + n_segments - 1))).alias("p")).select(
+        "fp", p.cast("byte").alias("p"), fp.bitwiseAND(whole).bitwiseAND(F.when(wild, F.bitwise_not(_bit(p % BITS))).otherwise(F.lit(-1).cast("long"))).alias("v"), (wild & (fp.bitwiseAND(_bit(p % BITS)) != 0)).alias("one"))
+    counts = variants.groupBy("p", "v").agg(F.count_if(~F.col("one")).alias("zeros"), F.count_if("one").alias("ones"))
+    zeros, ones = F.col("zeros"), F.col("ones")
+    # two fingerprints meet where they differ in the wildcard, or else in the segment that they share whole
+    counts = counts.filter(F.when(wild, (zeros > 0) & (ones > 0)).otherwise(zeros > 1)).withColumn("crowded", F.when(wild, zeros * ones > bucket * (zeros + ones)).otherwise(zeros > 2 * bucket))
+    counts = stage_table(counts.select("p", "v", "crowded"), "simhash-counts")
     held = stage_table(variants.join(counts, ["p", "v"]), "simhash-variants")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    few = held.filter(F.col("n") <= bucket).groupBy("p", "v").agg(F.collect_list("fp").alias("all"))
-    pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).filter("a < b").filter(close)
-    many = held.filter(F.col("n") > bucket).select("fp").distinct()
-    many = many.repartition(F.col("fp"))
-    wild = many.withColumn("mask", F.lit(0).cast("long")).withColumn("i", F.lit(-1))
-    for _ in range(distance):
-        left = distance - 1 - _
-        wild = wild.select("fp", "mask", F.explode(F.sequence(F.col("i") + 1, F.lit(BITS - 1 - left))).alias("i")).select("fp", F.col("mask").bitwiseOR(_bit(F.col("i"))).alias("mask"), "i")
-    whole = wild.groupBy("mask", fp.bitwiseAND(F.bitwise_not(F.col("mask"))).alias("v")).agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n"), F.collect_list("fp").alias("all")).filter("n > 1")
-    stars = whole.select("a", F.explode("all").alias("b")).filter("a < b")
+    few = held.filter("not crowded").groupBy("p", "v").agg(F.array_sort(F.collect_list(F.when(~F.col("one"), fp))).alias("zeros"), F.collect_list(F.when(F.col("one"), fp)).alias("ones"))
+    few = few.select("p", zeros, ones, F.posexplode("zeros").alias("i", "a"))
+    pairs = few.select("a", F.explode(F.when(wild, ones).otherwise(F.slice(zeros, F.col("i") + 2, F.size(zeros)))).alias("b")).filter(close)
+    open_bits = held.filter("crowded").select("fp").distinct().repartition(fp).select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("i"))
+    for k in range(distance):
+        open_bits = open_bits.select("fp", "mask", F.explode(F.sequence(F.col("i") + 1, F.lit(BITS - distance + k))).alias("i")).select("fp", F.col("mask").bitwiseOR(_bit(F.col("i"))).alias("mask"), "i")
+    groups = open_bits.groupBy("mask", fp.bitwiseAND(F.bitwise_not(F.col("mask"))).alias("v")).agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n"), F.collect_list("fp").alias("all")).filter("n > 1")
+    stars = groups.select("a", F.explode("all").alias("b")).filter("a < b")
     return pairs.unionByName(stars).distinct()
 
 
@@ -92,7 +104,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     nodes = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    named = rooted.join(stage_table(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components"), "root").select("fp", "component_id")
     return prints.join(named, "fp")
 
 
