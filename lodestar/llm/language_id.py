@@ -19,6 +19,7 @@ doc_id is never learned from and is held out.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.shared import blocks, read
 
-FOLDS, SAMPLE_DOCS, ROUNDS, SMOOTHING, MAX_WORD, MAX_PIECE, MEMORY = 5, 300, 5, 0.05, 32, 16, 200_000
+FOLDS, SAMPLE_DOCS, ROUNDS, SMOOTHING, MAX_WORD, MAX_PIECE, MEMORY = 5, 300, 5, 0.05, 32, 16, 400_000
 MARK, UNKNOWN, UND = "▁", 0, "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -50,28 +51,52 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 
 def words(text: str | None) -> list[str]:
-    return [run[i : i + MAX_WORD] for run in _RUN.findall((text or "").lower()) for i in range(0, len(run), MAX_WORD)]
+    runs = _RUN.findall((text or "").lower())
+    if max(map(len, runs), default=0) <= MAX_WORD:
+        return runs
+    return [run[i : i + MAX_WORD] for run in runs for i in range(0, len(run), MAX_WORD)]
+
+
+def prefixes(pieces: dict[str, int]) -> dict[str, int]:
+    """Every beginning of a piece: the piece's number, or -1 if it is none itself."""
+    out = {p[:i]: -1 for p in pieces for i in range(1, len(p))}
+    return {**out, **pieces}
 
 
 class Lattice:
-    """All pieces that occur in a list of words: word, start, end and piece number, ordered by end."""
+    """All pieces that occur in a list of words (65,536 at most): word, start, end and piece number, ordered by end.
 
-    def __init__(self, found: list[str], pieces: dict[str, int]) -> None:
-        rows: list[tuple[int, int, int, int]] = []
-        get, n = pieces.get, 0
+    `known` has the pieces' beginnings, so that a search ends where no piece goes on.
+    """
+
+    def __init__(self, found: list[str], known: dict[str, int]) -> None:
+        rows: list[int] = []
+        add, get, longest = rows.append, known.get, 0
         for w, word in enumerate(found):
             word = MARK + word
-            n = max(n, len(word))
-            for a in range(len(word)):
-                rows.append((w, a, a + 1, get(word[a], UNKNOWN)))
-                for b in range(a + 2, min(len(word), a + MAX_PIECE) + 1):
-                    if (p := get(word[a:b])) is not None:
-                        rows.append((w, a, b, p))
-        table = np.array(rows, np.int64).reshape(-1, 4)
-        self.word, self.start, self.end, self.piece = table[np.argsort(table[:, 2], kind="stable")].T
-        self.width, self.n = n + 1, len(found)
+            n = len(word)
+            longest = max(longest, n)
+            w <<= 16
+            for a in range(n):
+                here = w | a << 32
+                p = get(word[a])
+                if p is None or p < 0:
+                    add(here | a + 1 << 40 | UNKNOWN)
+                    if p is None:
+                        continue
+                else:
+                    add(here | a + 1 << 40 | p)
+                for b in range(a + 2, n + 1):
+                    p = get(word[a:b])
+                    if p is None:
+                        break
+                    if p >= 0:
+                        add(here | b << 40 | p)
+        table = np.sort(np.array(rows, np.int64))
+        self.piece, self.word, self.start, self.end = table & 0xFFFF, table >> 16 & 0xFFFF, table >> 32 & 0xFF, table >> 40
+        self.width, self.n = longest + 1, len(found)
         self.length = np.array([len(w) + 1 for w in found], np.int64)
-        self.cuts = np.searchsorted(self.end, np.arange(1, n + 2))
+        self.cuts = np.searchsorted(self.end, np.arange(1, longest + 2))
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """Sums over segmentations up to each place: (word, place, language)."""
@@ -106,6 +131,7 @@ class Model:
     pieces: dict[str, int]
     prob: np.ndarray  # piece, language
     prior: np.ndarray  # log, by language
+    key: str = ""  # tells fits apart
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +147,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, path: str | None = None
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages, pieces = sorted(sizes), vocabulary(path)
+    known = prefixes(pieces)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     rates = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1_000_000, -(-1_000_000 * sample_docs // sizes[k]))))) if languages else None
     counts: dict[str, dict[str, int]] = {k: {} for k in languages}
@@ -132,29 +159,48 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, path: str | None = None
         p = np.full((len(prob), 1), 1 / len(prob))
         if counts[lang]:
             found = sorted(counts[lang])
-            lattice, n = Lattice(found, pieces), np.array([counts[lang][w] for w in found], float)
+            parts = [found[i : i + (1 << 14)] for i in range(0, len(found), 1 << 14)]
+            lattices = [(Lattice(x, known), np.array([counts[lang][w] for w in x], float)) for x in parts]
             for _ in range(ROUNDS):
-                use = lattice.expected(p, n) + SMOOTHING
+                use = sum(lattice.expected(p, n) for lattice, n in lattices) + SMOOTHING
                 p = (use / use.sum())[:, None]
         prob[:, i] = p[:, 0]
     total = sum(sizes.values())
-    return Model(languages, pieces, prob, np.log(np.array([sizes[k] / total for k in languages])))
+    return Model(languages, pieces, prob, np.log(np.array([sizes[k] / total for k in languages])), uuid.uuid4().hex)
+
+
+class _Memory:
+    """Words' likelihoods under one model; a worker keeps the last model's for its next tasks."""
+
+    last: _Memory | None = None
+
+    def __init__(self, model: Model) -> None:
+        self.key, self.starts = model.key, prefixes(model.pieces)
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((0, len(model.languages)))
+
+    @classmethod
+    def of(cls, model: Model) -> _Memory:
+        if cls.last is None or cls.last.key != model.key:
+            cls.last = cls(model)
+        return cls.last
 
 
 def _scores(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     model: Model = held.value
-    known: dict[str, int] = {}
-    table = np.zeros((0, len(model.languages)))
+    memory = _Memory.of(model)
     for part, _, _ in blocks(batches):
         found = [Counter(words(t.as_py())) for t in part.column("text")]
-        if len(known) > MEMORY:
-            known, table = {}, table[:0]
+        if len(memory.place) > MEMORY:
+            memory.place, memory.table = {}, memory.table[:0]
+        known = memory.place
         fresh = list({w for c in found for w in c if w not in known}) if model.languages else []
+        rows = [memory.table]
         for at in range(0, len(fresh), 4096):
-            some = sorted(fresh[at : at + 4096], key=len)
-            for w in some:
-                known[w] = len(known)
-            table = np.concatenate([table, Lattice(some, model.pieces).likelihood(model.prob)])
+            some = fresh[at : at + 4096]
+            rows.append(Lattice(some, memory.starts).likelihood(model.prob))
+            known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
+        memory.table = table = np.concatenate(rows)
         best, score = [], []
         for c in found:
             if not c or not model.languages:
