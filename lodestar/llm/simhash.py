@@ -11,6 +11,12 @@ whole, with every set of DISTANCE bits as wildcards. Fingerprints with such a ke
 
 A shingle is SHINGLE words in a row (all words of a shorter text); words are split at ASCII white space, A-Z lower-cased.
 
+`similar_documents` applies the same index to documents whose five-word shingles agree to SIMILARITY or more. Those differ
+in too many bits of a shingle fingerprint, so it takes WIDE_SEGMENTS segments of a fingerprint of the distinct words; one
+segment differs by at most one bit for certain up to 2 * WIDE_SEGMENTS - 1 bits, and for most pairs beyond. Each document
+is compared with the smallest and the largest of each variant that it has, by the shingles of the whole texts; so the
+pairs grow with the documents, and a group hangs together through its ends. The tests measure recall by brute force.
+
 Edge cases: null and empty texts have the fingerprint zero, linked like any other; repeated rows and ties fall into one
 component, named by its smallest doc_id; rows with a null doc_id keep their fingerprint and may have a component of
 null only when no other row is in it; other columns are ignored; an empty table gives no rows.
@@ -31,6 +37,9 @@ from lodestar.llm.components import components
 from lodestar.llm.shared import read, stage_table
 
 SHINGLE, DISTANCE, BUCKET = 3, 2, 64
+SIMILAR_SHINGLE, SIMILARITY, WIDE_SEGMENTS, SEGMENT_BITS = 5, 0.8, 6, 32
+#: Of the wide fingerprint's 192 bits, pairs that differ in more are not compared: it would take over ten times the usual spread at SIMILARITY.
+MOST_WIDE_BITS = 48
 BITS, SEED = 64, 42
 _UPPER = bytes(range(65, 91))
 _TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -108,6 +117,74 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return prints.join(named, "fp")
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+
+
+def wide_fingerprint(words: list[bytes]) -> np.ndarray:
+    """WIDE_SEGMENTS unsigned segments of the distinct words' majority bits."""
+    found = set(words)
+    n = WIDE_SEGMENTS * SEGMENT_BITS
+    digests = b"".join(xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w, SEED) for w in found)
+    h = np.frombuffer(digests, np.uint8).reshape(-1, n // 8)
+    ones = np.zeros(n, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found)).view(">u4")
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        same, bits = [], []
+        for text in b.column("text"):
+            words = _words(text.as_py())
+            same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            # with fewer words than a shingle has, only equal texts are similar
+            bits.append(wide_fingerprint(words).tolist() if len(words) >= SIMILAR_SHINGLE else [])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "same", "bits"])
+
+
+def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int = SIMILAR_SHINGLE) -> float:
+    """Jaccard similarity of the shingle sets; a text of fewer words is one shingle."""
+    x, y = (set(zip(*(w[i:] for i in range(shingle)), strict=False)) or {tuple(w)} for w in (a, b))
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [shingle_similarity(_words(x.as_py()), _words(y.as_py())) >= similarity for x, y in zip(b.column("text_a"), b.column("text_b"), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id: equal texts (but for white space and A-Z), and chains of documents with that similarity of shingles."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = stage_table(docs.mapInArrow(_wide, "doc_id long, same binary, bits array<long>"), "wide-prints")
+    nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("bits").alias("bits")), "wide-nodes")
+    p, part = F.col("p"), F.get(F.col("bits"), (F.col("p") % WIDE_SEGMENTS).cast("int"))
+    # p: segment, and which of its bits is the wildcard; SEGMENT_BITS stands for none
+    every = F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS * (SEGMENT_BITS + 1) - 1))
+    bit = F.floor(p / WIDE_SEGMENTS).cast("int")
+    wild = F.when(bit < SEGMENT_BITS, part.bitwiseAND(F.bitwise_not(_bit(bit)))).otherwise(part)
+    some = nodes.filter(F.col("node").isNotNull() & (F.size("bits") > 0))
+    variants = some.select("node", "bits", F.explode(every).alias("p")).select("node", F.xxhash64(p, wild).alias("v"))
+    ends = variants.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    ends = stage_table(ends, "wide-ends")
+    found = variants.join(ends, "v").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end")
+    pairs = found.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    bits = some.select("node", "bits")
+    near = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    near = stage_table(near.filter(apart <= MOST_WIDE_BITS).select("a", "b"), "wide-pairs")
+    used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "wide-texts")
+    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    roots = components(both.mapInArrow(lambda it: _similar(it, similarity), "a long, b long")).withColumnRenamed("root", "component_id")
+    named = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("component_id", "node").alias("component_id"))
+    return prints.select("doc_id", "same").join(stage_table(named, "wide-named"), "same").select("doc_id", "component_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
