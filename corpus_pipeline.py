@@ -18,8 +18,6 @@ from lodestar.llm import decontamination, language_id, line_dedup, packing, shar
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents under this share of the likelihood of all languages are of no certain language.
 LEAST_SCORE = 0.5
-#: Near duplicates of the corpus: shingles of five words, and as many bits as two segments allow at no more variants.
-SHINGLE, DISTANCE = 5, 3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component."""
-    named = simhash.near_duplicates(docs, SHINGLE, DISTANCE)
+    """Keeps the document with the smallest doc_id of each group of equal or similar ones (five-word shingles, 0.8 or more)."""
+    named = simhash.similar_documents(docs)
     gone = shared.stage_table(named.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
