@@ -12,7 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes at once; a longer document is taken alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows of a batch between Spark and Python; documents are long, so the default of 10,000 would hold much at once.
+BATCH_ROWS = 1000
+
+
+def through_python(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow; lowers the session's batches to BATCH_ROWS rows where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Deals a small table out so that a task has about so many rows, as each is about to become many."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

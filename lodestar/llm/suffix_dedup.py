@@ -14,8 +14,11 @@ common prefix are extended backward by one symbol at a time, which derives the c
 in increasing order; after LENGTH steps the search stops, and the neighbours without a value are those that share LENGTH
 symbols or more.
 
-An anchor with more than CROWD differing contexts does not go into one block: its contexts are cut into the single
-strings, which are counted by digest (SHA-256) in a shuffle with partial sums. This takes all rows of such anchors.
+An anchor with more than CROWD differing contexts does not go into one block. Its strings are counted by digest (SHA-256)
+in shuffles with partial sums, in cells of CELLS strings with neighbouring starts, aligned at the anchor: a cell whose
+whole text occurs again is settled, and so is one whose core, which all its strings have in common, occurs once; of the
+others one of each kind is cut into smaller cells, down to single strings. This takes all rows of such anchors, and grows
+in proportion to them.
 
 Edge cases: null and empty texts have no bytes; a string that overlaps its repetition counts; rows that share a doc_id
 are different places (they are numbered apart); a null doc_id is treated like any; nothing is removed from texts under
@@ -34,9 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import Rolling, blocks, read, stage_table, utf8
+from lodestar.llm.shared import Rolling, blocks, read, stage_table, through_python, utf8
 
-LENGTH, GRAM, BLOCK, CROWD = 400, 64, 1 << 20, 256
+LENGTH, GRAM, BLOCK, CROWD = 400, 64, 1 << 20, 1024
+CELLS = (64, 16, 4, 1)
 _ROLL = Rolling()
 
 
@@ -51,10 +55,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(off: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For the strings of a buffer: document, first and one past last start, and the anchor's hash, for each run with one anchor."""
+    """For the strings of a buffer: document, first and one past last start, anchor and its hash, for each run with one anchor."""
     n = len(data) - length + 1
+    none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     if n <= 0:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
+        return none
     sums = _ROLL.prefix(data)
     at = np.arange(len(data) - gram + 1)
     h = _ROLL.ranges(sums, at, at + gram)
@@ -64,19 +69,19 @@ def anchors(off: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[
     new = np.r_[True, (chosen[1:] != chosen[:-1]) | (doc[1:n] != doc[: n - 1]) | ~inside[:-1]] & inside
     start = np.flatnonzero(new)
     if not len(start):
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
+        return none
     stop = np.r_[start[1:], n]
     last = np.flatnonzero(inside)
     stop = last[np.searchsorted(last, stop, "left") - 1] + 1
-    return doc[start], start, stop, h[chosen[start]]
+    return doc[start], start, stop, chosen[start], h[chosen[start]]
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for part, off, data in blocks(batches):
-        doc, start, stop, h = anchors(off, data, length, gram)
+        doc, start, stop, chosen, h = anchors(off, data, length, gram)
         view = memoryview(data.tobytes())
         context = np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length - 1]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), part.column("row").take(pa.array(doc)), pa.array((start - off[doc]).astype(np.int32)), pa.array((stop - start).astype(np.int32))], names=["anchor", "context", "row", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), part.column("row").take(pa.array(doc)), pa.array((start - off[doc]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array((chosen - start).astype(np.int32))], names=["anchor", "context", "row", "at", "n", "lead"])
 
 
 def bounded_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -182,10 +187,10 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         for i, wants in enumerate(part.column("wants").to_pylist()):
             body = data[off[i] : off[i + 1]]
             row = part.column("row")[i].as_py()
-            rows += [(w["anchor"], row, w["at"], w["n"], w["many"], w["single"], body[w["at"] : w["at"] + w["n"] + length - 1].tobytes()) for w in wants]
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "row", "at", "n", "many", "single", "body"])
+            rows += [(w["anchor"], row, w["at"], w["n"], w["lead"], w["many"], w["single"], body[w["at"] : w["at"] + w["n"] + length - 1].tobytes()) for w in wants]
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "row", "at", "n", "lead", "many", "single", "body"])
 
 
 def _expand(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -210,16 +215,41 @@ def _expand(batches: Iterator[pa.RecordBatch], length: int, block: int) -> Itera
         yield search()
 
 
-def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every string of crowded anchors' contexts: digest and place."""
+_UNIT = "row long, at int, n int, lead int, single boolean, body binary"
+
+
+def _cells(batches: Iterator[pa.RecordBatch], length: int, w: int) -> Iterator[pa.RecordBatch]:
+    """Cuts units of n strings (the anchor `lead` bytes behind the first start) into cells of w starts."""
     for b in batches:
-        for i in range(0, b.num_rows, 64):
+        for i in range(0, b.num_rows, 256):
             rows = []
-            for row, at, n, single, body in zip(*(b.slice(i, 64).column(c).to_pylist() for c in ("row", "at", "n", "single", "body")), strict=True):
-                view = memoryview(body)
-                rows += [(hashlib.sha256(view[k : k + length]).digest(), row, at + k, single) for k in range(n)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["string", "row", "at", "single"])
+            for row, at, n, lead, single, body in zip(*(b.slice(i, 256).column(c).to_pylist() for c in ("row", "at", "n", "lead", "single", "body")), strict=True):
+                first = 0
+                while first < n:
+                    cell = (first - lead) // w
+                    begin = cell * w + lead  # may lie before the unit's first string
+                    stop = min(n, begin + w)
+                    text = body[first : stop + length - 1]
+                    core = hashlib.sha256(b"%d " % cell + body[begin + w - 1 : max(0, begin + length)]).digest()
+                    full = hashlib.sha256(b"%d %d %d " % (cell, first - begin, stop - first) + text).digest()
+                    rows.append((core, full, row, at + first, stop - first, lead - first, single, text))
+                    first = stop
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["core", "full", "row", "at", "n", "lead", "single", "body"])
+
+
+def crowded_spans(units: DataFrame, length: int) -> DataFrame:
+    """row, at, end of the repeated strings of units whose field single is true; the others are there to be met."""
+    out = None
+    for w in CELLS:
+        cells = stage_table(through_python(units, lambda it, w=w: _cells(it, length, w), f"core binary, full binary, {_UNIT}"), "cells")
+        kinds = stage_table(cells.groupBy("full").agg(F.min("core").alias("core"), F.count(F.lit(1)).alias("all"), F.min(F.struct("row", "at", "n", "lead", "single", "body")).alias("one")), "cell-kinds")
+        found = cells.filter("single").join(kinds.filter("all > 1").select("full"), "full", "left_semi").select("row", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("n") + (length - 1)).cast("long").alias("end"))
+        out = found if out is None else out.unionByName(found)
+        cores = stage_table(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core"), "cell-cores")
+        units = kinds.join(cores, "core", "left_semi").select("one.row", "one.at", "one.n", "one.lead", (F.col("one.single") & (F.col("all") == 1)).alias("single"), "one.body")
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,26 +281,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         ids = stage_table(ids.withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
     else:
         ids = ids.withColumn("row", F.col("doc_id").cast("long"))
-    found = stage_table(ids.filter(F.octet_length("text") >= length).select("row", "text").mapInArrow(lambda it: _anchor_rows(it, length, gram), "anchor long, context long, row long, at int, n int"), "anchors")
+    found = stage_table(through_python(ids.filter(F.octet_length("text") >= length).select("row", "text"), lambda it: _anchor_rows(it, length, gram), "anchor long, context long, row long, at int, n int, lead int"), "anchors")
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("context").alias("a"), F.max("context").alias("b")).filter("all > 1")
     groups = stage_table(groups.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchor-groups")
     shared = stage_table(found.join(groups, "anchor"), "anchors-shared")
     # anchors whose contexts differ: one of each context, and how often it is there
-    contexts = stage_table(shared.filter("not same").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("row", "at", "n")).alias("one")), "contexts")
+    contexts = stage_table(shared.filter("not same").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("row", "at", "n", "lead")).alias("one")), "contexts")
     crowds = stage_table(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "context-counts")
-    wants = contexts.join(crowds, "anchor").select("one.row", F.struct("anchor", "one.at", "one.n", (F.col("kinds") > crowd).alias("many"), (F.col("all") == 1).alias("single")).alias("want"))
+    wants = contexts.join(crowds, "anchor").select("one.row", F.struct("anchor", "one.at", "one.n", "one.lead", (F.col("kinds") > crowd).alias("many"), (F.col("all") == 1).alias("single")).alias("want"))
     wants = wants.groupBy("row").agg(F.collect_list("want").alias("wants"))
-    bodies = stage_table(ids.select("row", "text").join(wants, "row").mapInArrow(lambda it: _cut_contexts(it, length), "anchor long, row long, at int, n int, many boolean, single boolean, body binary"), "context-bodies")
-    searched = bodies.filter("not many").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _expand(it, length, block), "row long, at long, end long")
-    strings = bodies.filter("many").mapInArrow(lambda it: _strings(it, length), "string binary, row long, at long, single boolean")
-    counted = strings.groupBy("string").agg(F.count(F.lit(1)).alias("all")).filter("all > 1")
-    crowded = strings.join(stage_table(counted.select("string"), "strings-repeated"), "string").filter("single").select("row", "at", (F.col("at") + length).alias("end"))
+    bodies = stage_table(through_python(ids.select("row", "text").join(wants, "row"), lambda it: _cut_contexts(it, length), "anchor long, row long, at int, n int, lead int, many boolean, single boolean, body binary"), "context-bodies")
+    searched = through_python(bodies.filter("not many").repartition("anchor").sortWithinPartitions("anchor"), lambda it: _expand(it, length, block), "row long, at long, end long")
+    crowd_rows = bodies.filter("many").select("row", "at", "n", "lead", "single", "body")
     # equal contexts repeat whole, whether or not others of their anchor differ
     equal = contexts.filter("all > 1").select("anchor", "context", F.lit(True).alias("twice"))
     whole = shared.filter("same").select("row", "at", "n").unionByName(shared.filter("not same").join(equal, ["anchor", "context"], "left_semi").select("row", "at", "n"))
     whole = whole.select("row", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("n") + (length - 1)).cast("long").alias("end"))
-    spans = whole.unionByName(searched).unionByName(crowded).groupBy("row").agg(F.collect_list(F.struct("at", "end")).alias("spans"))
-    return ids.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = whole.unionByName(searched)
+    if not crowd_rows.isEmpty():
+        spans = spans.unionByName(crowded_spans(crowd_rows, length))
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("at", "end")).alias("spans"))
+    return through_python(ids.join(spans, "row", "left").select("doc_id", "text", "spans"), _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
