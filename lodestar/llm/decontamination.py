@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import BitFilter, Rolling, blocks, mixed, power_of_two, read, stage_table
+from lodestar.llm.shared import BitFilter, Rolling, blocks, mixed, power_of_two, read, stage_table, through_python
 
 WINDOW, K = 10, 5
 #: Bits of the filter for each benchmark fingerprint, and at most (16 MB).
@@ -144,21 +144,21 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids as strings), spans (of words, maximal) for each document."""
     spark = docs.sparkSession
-    tests = stage_table(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(lambda it: _item_windows(it, window, k), "item_id long, win string, print long, width int"), "test-windows")
+    tests = stage_table(through_python(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), lambda it: _item_windows(it, window, k), "item_id long, win string, print long, width int"), "test-windows")
     head = tests.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("w")).first()
     widths, n_bits = sorted(head["w"]), power_of_two(head["n"] * BITS_PER_PRINT, 1 << 12, MOST_BITS)
     bits = np.zeros(n_bits // 8, np.uint8)
-    for row in tests.select("print").mapInArrow(lambda it: _bits(it, n_bits), "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+    for row in through_python(tests.select("print"), lambda it: _bits(it, n_bits), "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
         bits[row["at"]] = row["bits"]
     held = spark.sparkContext.broadcast(BitFilter(bits, 3))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()).alias("__row"))
-    found = stage_table(rows.mapInArrow(lambda it: _hits(it, held, widths, window, k), "__row long, doc_id long, win string, at long, width int, n_words long"), "doc-windows")
+    found = stage_table(through_python(rows, lambda it: _hits(it, held, widths, window, k), "__row long, doc_id long, win string, at long, width int, n_words long"), "doc-windows")
     items = tests.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("of"))
     hits = found.filter("win is not null").join(items, "win")
     both = found.filter("win is null").select("__row", "doc_id", "n_words", F.lit(None).cast("struct<at:bigint,width:int>").alias("hit"), F.lit(None).cast("array<string>").alias("of")).unionByName(
         hits.select("__row", "doc_id", F.lit(0).cast("long").alias("n_words"), F.struct("at", "width").alias("hit"), "of"))
     per = both.groupBy("doc_id", "__row").agg(F.sum("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
-    return per.mapInArrow(_covered, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>")
+    return through_python(per, _covered, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

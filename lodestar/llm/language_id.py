@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import blocks, read
+from lodestar.llm.shared import blocks, read, through_python
 
 FOLDS, SAMPLE_DOCS, ROUNDS, SMOOTHING, MAX_WORD, MAX_PIECE, MEMORY = 5, 300, 5, 0.05, 32, 16, 400_000
 MARK, UNKNOWN, UND = "▁", 0, "und"
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, path: str | None = None
     rates = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1_000_000, -(-1_000_000 * sample_docs // sizes[k]))))) if languages else None
     counts: dict[str, dict[str, int]] = {k: {} for k in languages}
     if languages:
-        for r in rows.filter(place < F.element_at(rates, F.col("lang"))).select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in through_python(rows.filter(place < F.element_at(rates, F.col("lang"))).select("lang", "text"), _word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[r["lang"]][r["word"]] = r["n"]
     prob = np.zeros((len(pieces) + 1, len(languages)))
     for i, lang in enumerate(languages):
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] = ("doc_id", "text")
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda it: _scores(it, held), f"{fields}, lang_pred string, lang_score double")
+    return through_python(docs, lambda it: _scores(it, held), f"{fields}, lang_pred string, lang_score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

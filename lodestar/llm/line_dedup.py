@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import BitFilter, as_text, power_of_two, read, stage_table
+from lodestar.llm.shared import BitFilter, as_text, power_of_two, read, stage_table, through_python
 
 MIN_CHARS = 10
 SPACE = " \t\n\x0b\x0c\r"
@@ -95,8 +95,8 @@ def twice_filter(docs: DataFrame) -> BitFilter:
     """The filter of keys seen twice, merged on the executors block by block, of at most MOST_BITS."""
     chars = docs.agg(F.sum(F.octet_length(as_text()))).first()[0] or 0
     n_bits = power_of_two(chars / LINE_CHARS * BITS_PER_LINE, LEAST_BITS, MOST_BITS)
-    parts = docs.select("doc_id", "text").mapInArrow(lambda it: _bit_blocks(it, n_bits), "block int, once binary, twice binary")
-    merged = parts.repartition("block").mapInArrow(_merged, "block int, once binary, twice binary").select("block", "twice").collect()
+    parts = through_python(docs.select("doc_id", "text"), lambda it: _bit_blocks(it, n_bits), "block int, once binary, twice binary")
+    merged = through_python(parts.repartition("block"), _merged, "block int, once binary, twice binary").select("block", "twice").collect()
     bits = np.zeros(n_bits // 8, np.uint8)
     for row in merged:
         part = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
@@ -138,13 +138,13 @@ def line_dedup(docs: DataFrame, keep: list[str] = ("doc_id", "text")) -> DataFra
     spark = docs.sparkSession
     docs = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long"))
     held = spark.sparkContext.broadcast(twice_filter(docs))
-    suspects = stage_table(docs.select("doc_id", "text").mapInArrow(lambda it: _suspects(it, held), "key binary, doc_id long"), "line-suspects")
+    suspects = stage_table(through_python(docs.select("doc_id", "text"), lambda it: _suspects(it, held), "key binary, doc_id long"), "line-suspects")
     first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     first = stage_table(first, "line-firsts")  # read anew, so that the join can split a very common line
     gone = suspects.join(first, "key").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("key").alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc").mapInArrow(lambda it: _drop(it, names), f"{fields}, text string, n_lines long, n_dropped long")
+    return through_python(docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc"), lambda it: _drop(it, names), f"{fields}, text string, n_lines long, n_dropped long")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import blocks, read
+from lodestar.llm.shared import blocks, read, through_python
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, window: int = WINDOW, separator: int = SEPARATOR, json
     """Pieces of all documents with their place: ids are little-endian unsigned 32-bit, sequence_id is unique over all."""
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _pieces(it, json_path, ranks_path, window, separator), SCHEMA)
+    return through_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda it: _pieces(it, json_path, ranks_path, window, separator), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.decontamination import Words
 from lodestar.llm.language_id import held_out
-from lodestar.llm.shared import blocks, mixed, read
+from lodestar.llm.shared import blocks, mixed, read, through_python
 
 SAMPLE_ROWS, BUCKETS, FACTORS, EPOCHS, BATCH, RATE, DECAY, THRESHOLD = 6000, 1 << 14, 8, 15, 64, 0.05, 2e-5, 0.3
 #: Where the sample's quantiles bound the bins of a statistic: close to the ends, where unusual documents are.
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     n = max(1, marks.count())
     marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, -(-1_000_000 * sample_rows // n))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     rows = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "quality")
-    got = rows.mapInArrow(_sampled, "quality int, buckets binary, values binary, stats binary").toLocalIterator()
+    got = through_python(rows, _sampled, "quality int, buckets binary, values binary, stats binary").toLocalIterator()
     y, b, v, s = [], [], [], []
     for r in got:
         y.append(r["quality"])
@@ -169,7 +169,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] = ("doc_id", "text"
     held = docs.sparkSession.sparkContext.broadcast(machine)
     docs = docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda it: _score(it, held), f"{fields}, quality_score double")
+    return through_python(docs, lambda it: _score(it, held), f"{fields}, quality_score double")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
-from lodestar.llm.shared import read, stage_table
+from lodestar.llm.shared import read, spread, stage_table, through_python
 
 SHINGLE, DISTANCE, BUCKET = 3, 2, 64
 SIMILAR_SHINGLE, SIMILARITY, WIDE_SEGMENTS, SEGMENT_BITS = 5, 0.8, 6, 32
 #: Of the wide fingerprint's 192 bits, pairs that differ in more are not compared: it would take over ten times the usual spread at SIMILARITY.
 MOST_WIDE_BITS = 48
 BITS, SEED = 64, 42
+#: Fingerprints whose variants one task makes.
+SPREAD_ROWS = 10_000
 _UPPER = bytes(range(65, 91))
 _TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -66,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    return through_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
 
 
 def _signed(n: int) -> int:
@@ -87,7 +89,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     segment = reduce(lambda rest, i: F.when(p < edges[i + 1], F.lit(masks[i])).otherwise(rest), range(n_segments - 2, -1, -1), F.lit(masks[-1]))
     whole = reduce(lambda rest, i: F.when(p == BITS + i, F.lit(masks[i])).otherwise(rest), range(n_segments), segment)
     wild = p < BITS
-    variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS + n_segments - 1))).alias("p")).select(
+    variants = spread(prints, "fp", SPREAD_ROWS).select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS + n_segments - 1))).alias("p")).select(
         "fp", p.cast("byte").alias("p"), fp.bitwiseAND(whole).bitwiseAND(F.when(wild, F.bitwise_not(_bit(p % BITS))).otherwise(F.lit(-1).cast("long"))).alias("v"), (wild & (fp.bitwiseAND(_bit(p % BITS)) != 0)).alias("one"))
     counts = variants.groupBy("p", "v").agg(F.count_if(~F.col("one")).alias("zeros"), F.count_if("one").alias("ones"))
     zeros, ones = F.col("zeros"), F.col("ones")
@@ -160,7 +162,7 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: equal texts (but for white space and A-Z), and chains of documents with that similarity of shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stage_table(docs.mapInArrow(_wide, "doc_id long, same binary, bits array<long>"), "wide-prints")
+    prints = stage_table(through_python(docs, _wide, "doc_id long, same binary, bits array<long>"), "wide-prints")
     nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("bits").alias("bits")), "wide-nodes")
     p, part = F.col("p"), F.get(F.col("bits"), (F.col("p") % WIDE_SEGMENTS).cast("int"))
     # p: segment, and which of its bits is the wildcard; SEGMENT_BITS stands for none
@@ -168,7 +170,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     bit = F.floor(p / WIDE_SEGMENTS).cast("int")
     wild = F.when(bit < SEGMENT_BITS, part.bitwiseAND(F.bitwise_not(_bit(bit)))).otherwise(part)
     some = nodes.filter(F.col("node").isNotNull() & (F.size("bits") > 0))
-    variants = some.select("node", "bits", F.explode(every).alias("p")).select("node", F.xxhash64(p, wild).alias("v"))
+    variants = spread(some, "node", SPREAD_ROWS).select("node", "bits", F.explode(every).alias("p")).select("node", F.xxhash64(p, wild).alias("v"))
     ends = variants.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     ends = stage_table(ends, "wide-ends")
     found = variants.join(ends, "v").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end")
@@ -180,7 +182,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "wide-texts")
     both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = components(both.mapInArrow(lambda it: _similar(it, similarity), "a long, b long")).withColumnRenamed("root", "component_id")
+    roots = components(through_python(both, lambda it: _similar(it, similarity), "a long, b long")).withColumnRenamed("root", "component_id")
     named = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("component_id", "node").alias("component_id"))
     return prints.select("doc_id", "same").join(stage_table(named, "wide-named"), "same").select("doc_id", "component_id")
 

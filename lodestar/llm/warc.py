@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import read, shared_dir, stage_table
+from lodestar.llm.shared import read, shared_dir, stage_table, through_python
 
 MIN_BYTES, FILE_BYTES, GAP, RANGE_BYTES, LEVEL = 0, 1 << 30, 1 << 16, 8 << 20, 3
 DATE = "1970-01-01T00:00:00Z"
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     pages = pages.withColumn("same", F.sha2("html", 256))
     top = pages.filter(~alone).groupBy("same").agg(F.max("page_id").alias("top"))
     rows = pages.join(top, "same", "left").withColumn("first", F.when(alone, F.col("page_id")).otherwise(F.col("top"))).drop("same", "top")
-    return stage_table(rows.mapInArrow(lambda it: _write(it, folder), INDEX), "warc-index")
+    return stage_table(through_python(rows, lambda it: _write(it, folder), INDEX), "warc-index")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(index: DataFrame) -> DataFrame:
     """The records of the index rows given (any selection), checked against their digests."""
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_read, RECORD)
+    return through_python(index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"), _read, RECORD)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
