@@ -1,14 +1,14 @@
 """Order-independent document fingerprints: a homomorphic multiset hash, in DataFrame functions only.
 
-A text is a multiset of paragraphs (cut after each line end and sentence end). Each paragraph is hashed to a wide
-vector; a fingerprint is the sum of those vectors, each component modulo a power of two. Sums make it independent of
+A text is a multiset of paragraphs (cut after each line end and sentence end, and after every eighth word of longer ones,
+so that a text of few paragraphs has a likeness too). Each paragraph is hashed to a wide vector; a fingerprint is the sum of those vectors, each component modulo a power of two. Sums make it independent of
 order, and let a paragraph be added or taken away by adding or subtracting its own fingerprint (`combine`).
 
 Three kinds of components: the number of paragraphs (modulo 2**40); SUMS uniform ones (modulo 2**32), for equality; and
 LANES counts of one hash bit each (modulo 2**20, three to a long), whose centred values are a random projection of the
 multiset, so that the cosine of two texts' lanes estimates the cosine of the multisets (standard error about 0.09).
 
-Edge cases: null and empty texts have one empty paragraph; equal texts have equal fingerprints; rows that share a
+Edge cases: null and empty texts have no paragraph, and a likeness of 1 to each other and 0 to others; equal texts have equal fingerprints; rows that share a
 doc_id each get a row, and stand as the next document by their smallest text; a null doc_id sorts before all others.
 Other columns are ignored; an empty table gives no rows.
 """
@@ -22,6 +22,8 @@ from lodestar.llm.shared import as_text, read, stage_table
 
 #: A paragraph ends after a line end or after a full stop, question or exclamation mark and a blank.
 CUT = r"(?<=\n)|(?<=[.!?] )"
+#: What a paragraph is cut into: eight words at most, each with the blank behind it.
+PIECE = r"((?:[^ ]* ){1,8}|[^ ]+\z)"
 PER_LONG, LANE_BITS, STEPS, HASHES, SUMS = 3, 20, 20, 2, 4
 LANES = PER_LONG * STEPS * HASHES
 _LANE = (1 << LANE_BITS) - 1
@@ -41,13 +43,14 @@ def _sum(hashes: Column, part, modulus: int) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds `name`: array<long> of the count, SUMS uniform sums, then packed lanes."""
-    hashes = F.transform(F.split(F.col(text), CUT), lambda p: F.xxhash64(p))
-    df = df.withColumn("__h", hashes)
+    pieces = F.flatten(F.transform(F.split(F.col(text), CUT), lambda p: F.regexp_extract_all(p, F.lit(PIECE), 1)))
+    df = df.withColumn("__h", F.transform(pieces, lambda p: F.xxhash64(p)))
     h = F.col("__h")
     out = [F.size(h).cast("long")]
     out += [_sum(h, lambda x, k=k: F.xxhash64(x, F.lit(k)).bitwiseAND(_long((1 << 32) - 1)), 1 << 32) for k in range(SUMS)]
     for k in range(HASHES):
-        again = h if not k else F.transform(h, lambda x, k=k: F.xxhash64(x, F.lit(-k)))
+        seed = F.lit(-k)  # no default argument: a lambda's second parameter would be the place in the array
+        again = h if not k else F.transform(h, lambda x: F.xxhash64(x, seed))  # noqa: B023
         df = df.withColumn(f"__h{k}", again)
         out += [_sum(F.col(f"__h{k}"), lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(_long(_ONE)), _ALL + 1) for j in range(STEPS)]
     return df.withColumn(name, F.array(*out)).drop("__h", *(f"__h{k}" for k in range(HASHES)))
