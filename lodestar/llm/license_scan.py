@@ -11,8 +11,8 @@ first template by name). A file declares its licence for its directory if it is
 its whole text reaches THRESHOLD. Of several in one directory the one with the smallest id counts. A file without own
 licence inherits from the nearest ancestor directory that declares one, its own directory included.
 
-Edge cases: null and empty texts have no own licence; a null path has no ancestors and declares nothing; repeated rows each get a row;
-null ids are carried through; other columns are ignored; an empty table gives no rows.
+Edge cases: null and empty texts have no own licence; a null path has no ancestors and declares nothing; rows that share
+id and path (null or not) are one file, with the best licence of any, and each get a row; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -119,9 +119,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     chain = dirs.select("of", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("dir")).distinct()
     near = chain.join(declared, "dir").groupBy("of").agg(F.max_by(F.struct("dir", "given"), F.length("dir")).alias("near"))
     near = stage_table(near, "license-inherited")
-    named = own.select("id", "path", "own").distinct()
-    # plain equality joins; an id or path that is null has no own licence to look up and no directory
-    out = files.select("id", "path", _parent(F.col("path")).alias("of")).join(named, ["id", "path"], "left").join(near, "of", "left")
+    named = own.groupBy("id", "path").agg(F.max_by("own", F.struct("own.score", "own.license")).alias("own"))
+    named = stage_table(named.select(F.col("id").alias("__id"), F.col("path").alias("__path"), "own"), "license-named")
+    out = files.select("id", "path", _parent(F.col("path")).alias("of"))
+    out = out.join(named, out["id"].eqNullSafe(named["__id"]) & out["path"].eqNullSafe(named["__path"]), "left").join(near, "of", "left")
     has = F.col("own").isNotNull()
     return out.select("id", "path", F.coalesce("own.license", "near.given.license").alias("license"), F.coalesce("own.score", "near.given.score").alias("score"), F.when(has, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(~has, F.col("near.dir")).alias("from_dir"))
 
