@@ -34,15 +34,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI of the file system that Spark resolves it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where none is set (as in tests), one of our own below the warehouse."""
+    """This application's part of the folder that all executors share, as a URI; where none is set (as in tests), one below the warehouse."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-        if ":/" not in top:
-            top = "file://" + top
         spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
+    return f"{qualified(spark, top).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the stage tables and archives of this application, once no DataFrame that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:

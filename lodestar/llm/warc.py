@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import read, shared_dir, stage_table, through_python
+from lodestar.llm.shared import qualified, read, shared_dir, stage_table, through_python
 
 MIN_BYTES, FILE_BYTES, GAP, RANGE_BYTES, LEVEL = 0, 1 << 30, 1 << 16, 8 << 20, 3
 DATE = "1970-01-01T00:00:00Z"
@@ -106,9 +106,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Writes the archives below `folder` (any path or URI that all executors share); returns their index."""
-    if ":/" not in folder:
-        folder = "file://" + folder
+    """Writes the archives below `folder` (a path or URI that all executors share); returns their index."""
+    folder = qualified(pages.sparkSession, folder)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     alone = F.octet_length("html") < min_bytes
     pages = pages.withColumn("same", F.sha2("html", 256))
