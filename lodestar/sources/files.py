@@ -11,11 +11,10 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        if ":/" not in root:
-            root = "file://" + os.path.abspath(root)
-        self.root, self._jvm = root.rstrip("/"), spark._jvm
-        self._conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path("").getFileSystem(self._conf)
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = self._jvm.org.apache.hadoop.fs.Path(root)
+        self._fs = path.getFileSystem(self._conf)
+        self.root = self._fs.makeQualified(path).toString().rstrip("/")
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(self.uri(name))
