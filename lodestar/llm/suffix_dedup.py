@@ -77,11 +77,20 @@ def anchors(off: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """A row for each different context of a document, with all its places: periodic texts repeat theirs all over."""
     for part, off, data in blocks(batches):
         doc, start, stop, chosen, h = anchors(off, data, length, gram)
         view = memoryview(data.tobytes())
         context = np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length - 1]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), part.column("row").take(pa.array(doc)), pa.array((start - off[doc]).astype(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array((chosen - start).astype(np.int32))], names=["anchor", "context", "row", "at", "n", "lead"])
+        order = np.lexsort((context, h, doc))
+        doc, start, stop, chosen, h, context = (x[order] for x in (doc, start, stop, chosen, h, context))
+        same = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (context[1:] == context[:-1])
+        first = np.flatnonzero(np.r_[True, ~same]) if len(doc) else np.zeros(0, np.int64)
+        places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array((start - off[doc]).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[first].view(np.int64)), pa.array(context[first].view(np.int64)), part.column("row").take(pa.array(doc[first])), places, pa.array((stop - start)[first].astype(np.int32)), pa.array((chosen - start)[first].astype(np.int32))],
+            names=["anchor", "context", "row", "places", "n", "lead"],
+        )
 
 
 def bounded_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -276,27 +285,27 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row."""
     ids = docs.select("doc_id", "text")
-    repeated = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").limit(1).count()
-    if repeated:  # number the rows apart, once and for all
-        ids = stage_table(ids.withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    repeated = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if not repeated.isEmpty():  # number the rows apart, once and for all
+        ids = stage_table(ids.withColumn("row", F.monotonically_increasing_id()), "numbered-rows", whole=True)
     else:
         ids = ids.withColumn("row", F.col("doc_id").cast("long"))
-    found = stage_table(through_python(ids.filter(F.octet_length("text") >= length).select("row", "text"), lambda it: _anchor_rows(it, length, gram), "anchor long, context long, row long, at int, n int, lead int"), "anchors")
-    groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("context").alias("a"), F.max("context").alias("b")).filter("all > 1")
+    found = stage_table(through_python(ids.filter(F.octet_length("text") >= length).select("row", "text"), lambda it: _anchor_rows(it, length, gram), "anchor long, context long, row long, places array<int>, n int, lead int"), "anchors", whole=True)
+    groups = found.groupBy("anchor").agg(F.sum(F.size("places")).alias("all"), F.min("context").alias("a"), F.max("context").alias("b")).filter("all > 1")
     groups = stage_table(groups.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchor-groups")
     shared = stage_table(found.join(groups, "anchor"), "anchors-shared")
     # anchors whose contexts differ: one of each context, and how often it is there
-    contexts = stage_table(shared.filter("not same").groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("row", "at", "n", "lead")).alias("one")), "contexts")
+    contexts = stage_table(shared.filter("not same").groupBy("anchor", "context").agg(F.sum(F.size("places")).alias("all"), F.min(F.struct("row", F.get("places", F.lit(0)).alias("at"), "n", "lead")).alias("one")), "contexts")
     crowds = stage_table(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "context-counts")
     wants = contexts.join(crowds, "anchor").select("one.row", F.struct("anchor", "one.at", "one.n", "one.lead", (F.col("kinds") > crowd).alias("many"), (F.col("all") == 1).alias("single")).alias("want"))
     wants = wants.groupBy("row").agg(F.collect_list("want").alias("wants"))
-    bodies = stage_table(through_python(ids.select("row", "text").join(wants, "row"), lambda it: _cut_contexts(it, length), "anchor long, row long, at int, n int, lead int, many boolean, single boolean, body binary"), "context-bodies")
+    bodies = stage_table(through_python(ids.select("row", "text").join(wants, "row"), lambda it: _cut_contexts(it, length), "anchor long, row long, at int, n int, lead int, many boolean, single boolean, body binary"), "context-bodies", whole=True)
     searched = through_python(bodies.filter("not many").repartition("anchor").sortWithinPartitions("anchor"), lambda it: _expand(it, length, block), "row long, at long, end long")
     crowd_rows = bodies.filter("many").select("row", "at", "n", "lead", "single", "body")
     # equal contexts repeat whole, whether or not others of their anchor differ
     equal = contexts.filter("all > 1").select("anchor", "context", F.lit(True).alias("twice"))
-    whole = shared.filter("same").select("row", "at", "n").unionByName(shared.filter("not same").join(equal, ["anchor", "context"], "left_semi").select("row", "at", "n"))
-    whole = whole.select("row", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("n") + (length - 1)).cast("long").alias("end"))
+    whole = shared.filter("same").select("row", "places", "n").unionByName(shared.filter("not same").join(equal, ["anchor", "context"], "left_semi").select("row", "places", "n"))
+    whole = whole.select("row", F.explode("places").alias("at"), "n").select("row", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("n") + (length - 1)).cast("long").alias("end"))
     spans = whole.unionByName(searched)
     if not crowd_rows.isEmpty():
         spans = spans.unionByName(crowded_spans(crowd_rows, length))
