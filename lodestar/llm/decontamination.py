@@ -13,6 +13,7 @@ share a doc_id are joined by it as one document's counts added up; a null doc_id
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from lodestar.llm.shared import BitFilter, Rolling, blocks, mixed, power_of_two,
 WINDOW, K = 10, 5
 #: Bits of the filter for each benchmark fingerprint, and at most (16 MB).
 BITS_PER_PRINT, MOST_BITS = 32, 1 << 27
+#: The filter travels in blocks of this many bytes.
+BLOCK = 1 << 15
 _ROLL = Rolling()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,9 +95,19 @@ def _bits(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordB
     bits = np.zeros(n_bits // 8, np.uint8)
     for b in batches:
         bits |= BitFilter.of(b.column("print").to_numpy().view(np.uint64), n_bits).bits
-    used = np.flatnonzero(bits)
-    for at in range(0, len(used), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(used[at : at + (1 << 16)].astype(np.int32)), pa.array(bits[used[at : at + (1 << 16)]].astype(np.int16))], names=["at", "bits"])
+    for at in range(0, len(bits), BLOCK):
+        if (part := bits[at : at + BLOCK]).any():
+            yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    have: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, bits in zip(b.column("block").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(bits), np.uint8)
+            have[block] = have[block] | part if block in have else part
+    for block, part in have.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "bits"])
 
 
 def _hits(batches: Iterator[pa.RecordBatch], held, widths: list[int], window: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -148,11 +161,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     head = tests.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("w")).first()
     widths, n_bits = sorted(head["w"]), power_of_two(head["n"] * BITS_PER_PRINT, 1 << 12, MOST_BITS)
     bits = np.zeros(n_bits // 8, np.uint8)
-    for row in through_python(tests.select("print"), lambda it: _bits(it, n_bits), "at int, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bits[row["at"]] = row["bits"]
+    parts = through_python(tests.select("print"), lambda it: _bits(it, n_bits), "block int, bits binary").repartition("block")
+    for row in through_python(parts, _either, "block int, bits binary").collect():  # MOST_BITS in all
+        part = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        bits[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     held = spark.sparkContext.broadcast(BitFilter(bits, 3))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()).alias("__row"))
-    found = stage_table(through_python(rows, lambda it: _hits(it, held, widths, window, k), "__row long, doc_id long, win string, at long, width int, n_words long"), "doc-windows")
+    found = stage_table(through_python(rows, lambda it: _hits(it, held, widths, window, k), "__row long, doc_id long, win string, at long, width int, n_words long"), "doc-windows", whole=True)
     items = tests.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("of"))
     hits = found.filter("win is not null").join(items, "win")
     both = found.filter("win is null").select("__row", "doc_id", "n_words", F.lit(None).cast("struct<at:bigint,width:int>").alias("hit"), F.lit(None).cast("array<string>").alias("of")).unionByName(
