@@ -106,7 +106,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     cue = r"(^|[^a-z0-9])(" + "|".join(re.escape(c) for c in cues) + r")([^a-z0-9]|$)"
     files = files.select("id", "path", as_text().alias("text"))
     rows = files.withColumn("text", _lower(F.col("text"))).filter(F.col("text").rlike(cue))
-    rows = stage_table(rows.select(F.monotonically_increasing_id().alias("row"), "id", "path", "text"), "license-cues")
+    rows = stage_table(rows.select(F.monotonically_increasing_id().alias("row"), "id", "path", "text"), "license-cues", whole=True)
     lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("line", "unit")).filter(F.col("unit").rlike(cue))
     best = _cosines(lines, ["row", "line"], threshold).groupBy("row").agg(F.min_by("best", F.struct(-F.col("best.score"), "line")).alias("best"))
     whole = _cosines(rows.join(best.select("row"), "row", "left_semi").select("row", F.col("text").alias("unit")), ["row"], threshold).select("row", F.col("best").alias("all"))

@@ -138,9 +138,9 @@ def line_dedup(docs: DataFrame, keep: list[str] = ("doc_id", "text")) -> DataFra
     spark = docs.sparkSession
     docs = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long"))
     held = spark.sparkContext.broadcast(twice_filter(docs))
-    suspects = stage_table(through_python(docs.select("doc_id", "text"), lambda it: _suspects(it, held), "key binary, doc_id long"), "line-suspects")
+    suspects = stage_table(through_python(docs.select("doc_id", "text"), lambda it: _suspects(it, held), "key binary, doc_id long"), "line-suspects", whole=True)
     first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    first = stage_table(first, "line-firsts")  # read anew, so that the join can split a very common line
+    first = stage_table(first, "line-firsts", whole=True)  # read anew, so that the join can split a very common line
     gone = suspects.join(first, "key").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("key").alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")

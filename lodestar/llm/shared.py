@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 19
 #: Rows of a batch between Spark and Python; documents are long, so the default of 10,000 would hold much at once.
 BATCH_ROWS = 1000
+FILES_PER_CORE = 8
 
 
 def through_python(df: DataFrame, function, schema: str) -> DataFrame:
@@ -55,9 +56,15 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, and survives a lost executor."""
+def stage_table(df: DataFrame, name: str, whole: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage, and survives a lost executor.
+
+    whole: rows come from whole texts or from shuffles of their size, so each partition is a task. Others, which are small
+    beside the texts, are written by FILES_PER_CORE tasks a core at most, for fewer small files.
+    """
     spark = df.sparkSession
+    if not whole:
+        df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,8 +14,8 @@ A shingle is SHINGLE words in a row (all words of a shorter text); words are spl
 `similar_documents` applies the same index to documents whose five-word shingles agree to SIMILARITY or more. Those differ
 in too many bits of a shingle fingerprint, so it takes WIDE_SEGMENTS segments of a fingerprint of the distinct words; one
 segment differs by at most one bit for certain up to 2 * WIDE_SEGMENTS - 1 bits, and for most pairs beyond. Each document
-is compared with the smallest and the largest of each variant that it has, by the shingles of the whole texts; so the
-pairs grow with the documents, and a group hangs together through its ends. The tests measure recall by brute force.
+is compared with the smallest and the largest of each variant that it has, by the shingles of the whole texts, unless
+they are connected already; so the pairs grow with the documents, and a group hangs together through its ends. The tests measure recall by brute force.
 
 Edge cases: null and empty texts have the fingerprint zero, linked like any other; repeated rows and ties fall into one
 component, named by its smallest doc_id; rows with a null doc_id keep their fingerprint and may have a component of
@@ -94,13 +94,15 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     counts = variants.groupBy("p", "v").agg(F.count_if(~F.col("one")).alias("zeros"), F.count_if("one").alias("ones"))
     zeros, ones = F.col("zeros"), F.col("ones")
     # two fingerprints meet where they differ in the wildcard, or else in the segment that they share whole
-    counts = counts.filter(F.when(wild, (zeros > 0) & (ones > 0)).otherwise(zeros > 1)).withColumn("crowded", F.when(wild, zeros * ones > bucket * (zeros + ones)).otherwise(zeros > 2 * bucket))
-    counts = stage_table(counts.select("p", "v", "crowded"), "simhash-counts")
-    held = stage_table(variants.join(counts, ["p", "v"]), "simhash-variants")
+    counts = counts.filter(F.when(wild, (zeros > 0) & (ones > 0)).otherwise(zeros > 1)).withColumn("crowded", F.when(wild, zeros.cast("double") * ones > bucket * (zeros + ones)).otherwise(zeros > 2 * bucket))
+    counts = stage_table(counts.select("p", "v", "crowded"), "simhash-counts", whole=True)
+    held = stage_table(variants.join(counts, ["p", "v"]), "simhash-variants", whole=True)
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    few = held.filter("not crowded").groupBy("p", "v").agg(F.array_sort(F.collect_list(F.when(~F.col("one"), fp))).alias("zeros"), F.collect_list(F.when(F.col("one"), fp)).alias("ones"))
-    few = few.select("p", zeros, ones, F.posexplode("zeros").alias("i", "a"))
-    pairs = few.select("a", F.explode(F.when(wild, ones).otherwise(F.slice(zeros, F.col("i") + 2, F.size(zeros)))).alias("b")).filter(close)
+    few = held.filter("not crowded")
+    left = few.filter(~F.col("one")).select("p", "v", fp.alias("a"))
+    right = few.filter(F.col("one") | ~wild).select(p.alias("q"), F.col("v").alias("w"), fp.alias("b"))
+    meet = (F.col("p") == F.col("q")) & (F.col("v") == F.col("w")) & ((F.col("p") < BITS) | (F.col("a") < F.col("b"))) & close
+    pairs = left.join(right, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_bits = held.filter("crowded").select("fp").distinct().repartition(fp).select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("i"))
     for k in range(distance):
         open_bits = open_bits.select("fp", "mask", F.explode(F.sequence(F.col("i") + 1, F.lit(BITS - distance + k))).alias("i")).select("fp", F.col("mask").bitwiseOR(_bit(F.col("i"))).alias("mask"), "i")
@@ -111,7 +113,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id for each row."""
-    prints = stage_table(fingerprints(docs, shingle), "simhash-prints")
+    prints = stage_table(fingerprints(docs, shingle), "simhash-prints", whole=True)
     nodes = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -159,31 +161,49 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
+def _wide_pairs(some: DataFrame, wild: bool) -> DataFrame:
+    """Pairs a, b to compare: each node (with bits and component) and the ends of its variants, where those are in other components."""
+    first, last = (0, SEGMENT_BITS) if wild else (SEGMENT_BITS, SEGMENT_BITS + 1)
+    p = F.col("p")
+    part, bit = F.get(F.col("bits"), (p % WIDE_SEGMENTS).cast("int")), F.floor(p / WIDE_SEGMENTS).cast("int")
+    every = F.sequence(F.lit(first * WIDE_SEGMENTS), F.lit(last * WIDE_SEGMENTS - 1))
+    value = part.bitwiseAND(F.bitwise_not(_bit(bit))) if wild else part
+    one = (part.bitwiseAND(_bit(bit)) != 0) if wild else F.lit(False)
+    variants = spread(some, "node", SPREAD_ROWS).select("node", "component", "bits", F.explode(every).alias("p")).select("node", "component", F.xxhash64(p, value).alias("v"), one.alias("one"))
+    this = F.struct("node", "component", "one")
+    ends = variants.groupBy("v").agg(F.min(this).alias("lo"), F.max(this).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("one").alias("x"), F.max("one").alias("y"))
+    # those with the wildcard bit set meet those without; the others have met in the whole segment
+    ends = ends.filter("c < d and x < y" if wild else "c < d").select(F.col("v").alias("w"), "lo", "hi")
+    ends = stage_table(ends, "wide-ends", whole=True)
+
+    def apart(end: str):
+        return (F.col("component") != F.col(f"{end}.component")) & ((F.col("one") != F.col(f"{end}.one")) if wild else F.lit(True))
+
+    found = variants.join(ends, (F.col("v") == F.col("w")) & (apart("lo") | apart("hi"))).select("node", "component", "one", F.explode(F.array("lo", "hi")).alias("end")).filter(apart("end"))
+    pairs = found.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+    near = pairs.join(some.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return near.filter(bits <= MOST_WIDE_BITS).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: equal texts (but for white space and A-Z), and chains of documents with that similarity of shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stage_table(through_python(docs, _wide, "doc_id long, same binary, bits array<long>"), "wide-prints")
+    prints = stage_table(through_python(docs, _wide, "doc_id long, same binary, bits array<long>"), "wide-prints", whole=True)
     nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("bits").alias("bits")), "wide-nodes")
-    p, part = F.col("p"), F.get(F.col("bits"), (F.col("p") % WIDE_SEGMENTS).cast("int"))
-    # p: segment, and which of its bits is the wildcard; SEGMENT_BITS stands for none
-    every = F.sequence(F.lit(0), F.lit(WIDE_SEGMENTS * (SEGMENT_BITS + 1) - 1))
-    bit = F.floor(p / WIDE_SEGMENTS).cast("int")
-    wild = F.when(bit < SEGMENT_BITS, part.bitwiseAND(F.bitwise_not(_bit(bit)))).otherwise(part)
-    some = nodes.filter(F.col("node").isNotNull() & (F.size("bits") > 0))
-    variants = spread(some, "node", SPREAD_ROWS).select("node", "bits", F.explode(every).alias("p")).select("node", F.xxhash64(p, wild).alias("v"))
-    ends = variants.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    ends = stage_table(ends, "wide-ends")
-    found = variants.join(ends, "v").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end")
-    pairs = found.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    bits = some.select("node", "bits")
-    near = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    near = stage_table(near.filter(apart <= MOST_WIDE_BITS).select("a", "b"), "wide-pairs")
-    used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "wide-texts")
-    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    roots = components(through_python(both, lambda it: _similar(it, similarity), "a long, b long")).withColumnRenamed("root", "component_id")
-    named = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("component_id", "node").alias("component_id"))
+    some = nodes.filter(F.col("node").isNotNull() & (F.size("bits") > 0)).select("node", "bits")
+    links, roots = None, None
+    # whole segments join most of a group; what is in one component by then need not meet by wildcards
+    for wild in (False, True):
+        now = some.withColumn("component", F.col("node")) if roots is None else some.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+        near = stage_table(_wide_pairs(now, wild), "wide-pairs")
+        used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "wide-texts", whole=True)
+        both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        kept = stage_table(through_python(both, lambda it: _similar(it, similarity), "a long, b long"), "wide-links")
+        links = kept if links is None else links.unionByName(kept)
+        roots = components(links)
+    named = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "same").join(stage_table(named, "wide-named"), "same").select("doc_id", "component_id")
 
 

@@ -292,10 +292,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         ids = ids.withColumn("row", F.col("doc_id").cast("long"))
     found = stage_table(through_python(ids.filter(F.octet_length("text") >= length).select("row", "text"), lambda it: _anchor_rows(it, length, gram), "anchor long, context long, row long, places array<int>, n int, lead int"), "anchors", whole=True)
     groups = found.groupBy("anchor").agg(F.sum(F.size("places")).alias("all"), F.min("context").alias("a"), F.max("context").alias("b")).filter("all > 1")
-    groups = stage_table(groups.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchor-groups")
-    shared = stage_table(found.join(groups, "anchor"), "anchors-shared")
+    groups = stage_table(groups.select("anchor", (F.col("a") == F.col("b")).alias("same")), "anchor-groups", whole=True)
+    shared = stage_table(found.join(groups, "anchor"), "anchors-shared", whole=True)
     # anchors whose contexts differ: one of each context, and how often it is there
-    contexts = stage_table(shared.filter("not same").groupBy("anchor", "context").agg(F.sum(F.size("places")).alias("all"), F.min(F.struct("row", F.get("places", F.lit(0)).alias("at"), "n", "lead")).alias("one")), "contexts")
+    contexts = stage_table(shared.filter("not same").groupBy("anchor", "context").agg(F.sum(F.size("places")).alias("all"), F.min(F.struct("row", F.get("places", F.lit(0)).alias("at"), "n", "lead")).alias("one")), "contexts", whole=True)
     crowds = stage_table(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "context-counts")
     wants = contexts.join(crowds, "anchor").select("one.row", F.struct("anchor", "one.at", "one.n", "one.lead", (F.col("kinds") > crowd).alias("many"), (F.col("all") == 1).alias("single")).alias("want"))
     wants = wants.groupBy("row").agg(F.collect_list("want").alias("wants"))

@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     pages = pages.withColumn("same", F.sha2("html", 256))
     top = pages.filter(~alone).groupBy("same").agg(F.max("page_id").alias("top"))
     rows = pages.join(top, "same", "left").withColumn("first", F.when(alone, F.col("page_id")).otherwise(F.col("top"))).drop("same", "top")
-    return stage_table(through_python(rows, lambda it: _write(it, folder), INDEX), "warc-index")
+    return stage_table(through_python(rows, lambda it: _write(it, folder), INDEX), "warc-index", whole=True)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    found = stage_table(read_archives(index).select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("bytes")), "warc-records")
+    found = stage_table(read_archives(index).select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("bytes")), "warc-records", whole=True)
     full = found.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("bytes").alias("full_bytes"))
     return found.join(full, "refers_to", "left").select("page_id", F.coalesce("bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
