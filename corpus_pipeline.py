@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
     docs = shared.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = shared.stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}", whole=True)
     return STAGES[-1][1](spark, docs, sf_dir)
