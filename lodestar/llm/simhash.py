@@ -168,18 +168,12 @@ def _wide_pairs(some: DataFrame, wild: bool) -> DataFrame:
     part, bit = F.get(F.col("bits"), (p % WIDE_SEGMENTS).cast("int")), F.floor(p / WIDE_SEGMENTS).cast("int")
     every = F.sequence(F.lit(first * WIDE_SEGMENTS), F.lit(last * WIDE_SEGMENTS - 1))
     value = part.bitwiseAND(F.bitwise_not(_bit(bit))) if wild else part
-    one = (part.bitwiseAND(_bit(bit)) != 0) if wild else F.lit(False)
-    variants = spread(some, "node", SPREAD_ROWS).select("node", "component", "bits", F.explode(every).alias("p")).select("node", "component", F.xxhash64(p, value).alias("v"), one.alias("one"))
-    this = F.struct("node", "component", "one")
-    ends = variants.groupBy("v").agg(F.min(this).alias("lo"), F.max(this).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("one").alias("x"), F.max("one").alias("y"))
-    # those with the wildcard bit set meet those without; the others have met in the whole segment
-    ends = ends.filter("c < d and x < y" if wild else "c < d").select(F.col("v").alias("w"), "lo", "hi")
+    variants = spread(some, "node", SPREAD_ROWS).select("node", "component", "bits", F.explode(every).alias("p")).select("node", "component", F.xxhash64(p, value).alias("v"))
+    this = F.struct("node", "component")
+    ends = variants.groupBy("v").agg(F.min(this).alias("lo"), F.max(this).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select(F.col("v").alias("w"), "lo", "hi")
     ends = stage_table(ends, "wide-ends", whole=True)
-
-    def apart(end: str):
-        return (F.col("component") != F.col(f"{end}.component")) & ((F.col("one") != F.col(f"{end}.one")) if wild else F.lit(True))
-
-    found = variants.join(ends, (F.col("v") == F.col("w")) & (apart("lo") | apart("hi"))).select("node", "component", "one", F.explode(F.array("lo", "hi")).alias("end")).filter(apart("end"))
+    apart = (F.col("component") != F.col("lo.component")) | (F.col("component") != F.col("hi.component"))
+    found = variants.join(ends, (F.col("v") == F.col("w")) & apart).select("node", "component", F.explode(F.array("lo", "hi")).alias("end")).filter("component <> end.component")
     pairs = found.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
     near = pairs.join(some.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
     bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
