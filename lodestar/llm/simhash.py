@@ -11,11 +11,10 @@ whole, with every set of DISTANCE bits as wildcards. Fingerprints with such a ke
 
 A shingle is SHINGLE words in a row (all words of a shorter text); words are split at ASCII white space, A-Z lower-cased.
 
-`similar_documents` applies the same index to documents whose five-word shingles agree to SIMILARITY or more. Those differ
-in too many bits of a shingle fingerprint, so it takes WIDE_SEGMENTS segments of a fingerprint of the distinct words; one
-segment differs by at most one bit for certain up to 2 * WIDE_SEGMENTS - 1 bits, and for most pairs beyond. Each document
-is compared with the smallest and the largest of each variant that it has, by the shingles of the whole texts, unless
-they are connected already; so the pairs grow with the documents, and a group hangs together through its ends. The tests measure recall by brute force.
+`similar_documents` finds all documents whose five-word shingles agree to SIMILARITY or more, by an exact prefix join: of two
+such texts with their shingles in one order, rarest first, the first n - ceil(SIMILARITY * n) + 1 have one in common. Each
+shared shingle of a crowded kind first joins its members to its smallest and largest; then all pairs that share one and
+are in different components are compared by the shingles of the whole texts, wherever sizes and places allow it.
 
 Edge cases: null and empty texts have the fingerprint zero, linked like any other; repeated rows and ties fall into one
 component, named by its smallest doc_id; rows with a null doc_id keep their fingerprint and may have a component of
@@ -34,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
-from lodestar.llm.shared import read, spread, stage_table, through_python
+from lodestar.llm.shared import mixed, read, spread, stage_table, through_python
 
 SHINGLE, DISTANCE, BUCKET = 3, 2, 64
-SIMILAR_SHINGLE, SIMILARITY, WIDE_SEGMENTS, SEGMENT_BITS = 5, 0.8, 6, 32
-#: Of the wide fingerprint's 192 bits, pairs that differ in more are not compared: it would take over ten times the usual spread at SIMILARITY.
-MOST_WIDE_BITS = 48
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Documents in expectation, and shingles, that tell which shingles are common.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 1 << 18
 BITS, SEED = 64, 42
 #: Fingerprints whose variants one task makes.
 SPREAD_ROWS = 10_000
@@ -125,27 +124,57 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def wide_fingerprint(words: list[bytes]) -> np.ndarray:
-    """WIDE_SEGMENTS unsigned segments of the distinct words' majority bits."""
-    found = set(words)
-    n = WIDE_SEGMENTS * SEGMENT_BITS
-    digests = b"".join(xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w, SEED) for w in found)
-    h = np.frombuffer(digests, np.uint8).reshape(-1, n // 8)
-    ones = np.zeros(n, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        ones += np.unpackbits(h[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(found)).view(">u4")
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The distinct shingles of SIMILAR_SHINGLE words as sorted unsigned hashes; none for fewer words."""
+    n = len(words) - SIMILAR_SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, SEED) for w in words], np.uint64)
+    sums = np.zeros(n, np.uint64)
+    for k in range(SIMILAR_SHINGLE):
+        sums = sums * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return np.unique(mixed(sums))
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest hashes, so many that texts of that similarity have one of them in common. common is sorted; ties by hash."""
+    if not len(hashes):
+        return hashes
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+    return hashes[np.argsort(rank, kind="stable")][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for text in b.column("text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(_words(text.as_py())).view(np.int64))], names=["h"])
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of the documents, and how often. They only order the shingles: any order gives the same links."""
+    share = min(1.0, ORDER_DOCS / max(1, docs.count()))
+    seen = through_python(docs.sample(share, SEED).select("text"), _shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    found = seen.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, ranks: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        same, bits = [], []
+        same, sizes, first = [], [], []
         for text in b.column("text"):
             words = _words(text.as_py())
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
             # with fewer words than a shingle has, only equal texts are similar
-            bits.append(wide_fingerprint(words).tolist() if len(words) >= SIMILAR_SHINGLE else [])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "same", "bits"])
+            hashes = shingle_hashes(words)
+            sizes.append(len(hashes))
+            first.append(prefix(hashes, common, ranks, similarity).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "prefix"])
 
 
 def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int = SIMILAR_SHINGLE) -> float:
@@ -161,44 +190,58 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def _wide_pairs(some: DataFrame, wild: bool) -> DataFrame:
-    """Pairs a, b to compare: each node (with bits and component) and the ends of its variants, where those are in other components."""
-    first, last = (0, SEGMENT_BITS) if wild else (SEGMENT_BITS, SEGMENT_BITS + 1)
-    p = F.col("p")
-    part, bit = F.get(F.col("bits"), (p % WIDE_SEGMENTS).cast("int")), F.floor(p / WIDE_SEGMENTS).cast("int")
-    every = F.sequence(F.lit(first * WIDE_SEGMENTS), F.lit(last * WIDE_SEGMENTS - 1))
-    value = part.bitwiseAND(F.bitwise_not(_bit(bit))) if wild else part
-    variants = spread(some, "node", SPREAD_ROWS).select("node", "component", "bits", F.explode(every).alias("p")).select("node", "component", F.xxhash64(p, value).alias("v"))
-    this = F.struct("node", "component")
-    ends = variants.groupBy("v").agg(F.min(this).alias("lo"), F.max(this).alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select(F.col("v").alias("w"), "lo", "hi")
-    ends = stage_table(ends, "wide-ends", whole=True)
-    apart = (F.col("component") != F.col("lo.component")) | (F.col("component") != F.col("hi.component"))
-    found = variants.join(ends, (F.col("v") == F.col("w")) & apart).select("node", "component", F.explode(F.array("lo", "hi")).alias("end")).filter("component <> end.component")
-    pairs = found.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
-    near = pairs.join(some.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
-    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return near.filter(bits <= MOST_WIDE_BITS).select("a", "b")
+def _compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole texts are similar."""
+    near = stage_table(pairs, "similar-pairs")
+    used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts", whole=True)
+    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return stage_table(through_python(both, lambda it: _similar(it, similarity), "a long, b long"), "similar-links")
+
+
+def _fit(similarity: float):
+    """Whether sizes, and the places of a hash in both prefixes, still allow the similarity."""
+    n, m = F.col("x.size"), F.col("y.size")
+    rest = 1 + F.least(n - 1 - F.col("x.at"), m - 1 - F.col("y.at"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (rest >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
+
+def _ends(held: DataFrame) -> DataFrame:
+    """Pairs a, b of each member of a crowded hash and the hash's smallest and largest member."""
+    crowded = held.filter(F.col("members") > BUCKET)
+    ends = stage_table(crowded.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")), "similar-ends")
+    met = crowded.join(ends, "h").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end")
+    return met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+
+
+def _across(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs a, b that share a hash and are not connected yet: one of the two is outside the hash's largest component."""
+    now = stage_table(held.join(roots, "node", "left").select("h", "node", "size", "at", F.coalesce("root", "node").alias("component")), "similar-members", whole=True)
+    sizes = now.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = stage_table(sizes.groupBy("h").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("n", "component")).alias("most")).filter("components > 1").select("h", "most"), "similar-most")
+    open_ = stage_table(now.join(most, "h"), "similar-open", whole=True)
+    left, right = open_.filter("component <> most").alias("x"), open_.alias("y")
+    # two outside the largest component meet once, from the smaller node
+    once = (F.col("y.component") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
+    met = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & once & _fit(similarity))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: equal texts (but for white space and A-Z), and chains of documents with that similarity of shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stage_table(through_python(docs, _wide, "doc_id long, same binary, bits array<long>"), "wide-prints", whole=True)
-    nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("bits").alias("bits")), "wide-nodes")
-    some = nodes.filter(F.col("node").isNotNull() & (F.size("bits") > 0)).select("node", "bits")
-    links, roots = None, None
-    # whole segments join most of a group; what is in one component by then need not meet by wildcards
-    for wild in (False, True):
-        now = some.withColumn("component", F.col("node")) if roots is None else some.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-        near = stage_table(_wide_pairs(now, wild), "wide-pairs")
-        used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "wide-texts", whole=True)
-        both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        kept = stage_table(through_python(both, lambda it: _similar(it, similarity), "a long, b long"), "wide-links")
-        links = kept if links is None else links.unionByName(kept)
-        roots = components(links)
+    common, ranks = _common(docs)
+    prints = stage_table(through_python(docs, lambda it: _prefixes(it, common, ranks, similarity), "doc_id long, same binary, size int, prefix array<long>"), "similar-prints", whole=True)
+    nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "similar-nodes", whole=True)
+    rows = nodes.filter("node is not null").select("node", "size", F.posexplode("prefix").alias("at", "h"))
+    shared = stage_table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "similar-shared", whole=True)
+    held = stage_table(rows.join(shared, "h"), "similar-held", whole=True)
+    # most of a large group hangs together through the ends of its hashes; what is connected by then need not meet
+    links = _compared(docs, _ends(held), similarity)
+    links = links.unionByName(_compared(docs, _across(held, components(links), similarity), similarity))
+    roots = components(links)
     named = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "same").join(stage_table(named, "wide-named"), "same").select("doc_id", "component_id")
+    return prints.select("doc_id", "same").join(stage_table(named, "similar-named"), "same").select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

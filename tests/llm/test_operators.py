@@ -412,6 +412,34 @@ def test_similar_documents_recall(spark):
     assert len(pairs) > 100 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.97
 
 
+def similar_components(spark, rows):
+    """Components found, and by comparing all pairs; the pairs."""
+    words = [r.encode().split() for r in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if simhash.shingle_similarity(words[i], words[j]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    return [got[i] for i in range(len(rows))], plain_components(len(rows), pairs), pairs
+
+
+def test_similar_documents_between_strangers_of_a_hot_source(spark):
+    rng = random.Random(21)
+    fixed = prose(rng, "en", 200).split()
+    fresh = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    page = lambda: [x for i, w in enumerate(fixed) for x in ([w, fresh()] if i % 12 == 11 else [w])]
+    pages = [page() for _ in range(150)]
+    for w in pages[:40]:
+        w = list(w)
+        w[rng.randrange(len(w))] = fresh()
+        pages.append(w)
+    # and a large group of which each is like the one before only
+    chain = prose(rng, "en", 100).split()
+    for _ in range(120):
+        chain = chain[8:] + prose(rng, "en", 8).split()
+        pages.append(chain)
+    rng.shuffle(pages)
+    got, want, pairs = similar_components(spark, [" ".join(w) for w in pages])
+    assert got == want and len(pairs) >= 150
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7), (1, 0)]
