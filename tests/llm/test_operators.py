@@ -440,6 +440,20 @@ def test_similar_documents_between_strangers_of_a_hot_source(spark):
     assert got == want and len(pairs) >= 150
 
 
+def test_similar_documents_cut_extended_and_short(spark):
+    rng = random.Random(22)
+    rows = []
+    for _ in range(40):
+        w = prose(rng, "en", rng.randint(150, 500)).split()
+        n = len(w)
+        more = lambda share: prose(rng, "de", int(n * share)).split()
+        rows += [w, w[: int(n * 0.82)], w + more(0.2), more(0.1) + w + more(0.1), w[int(n * 0.1) : int(n * 0.95)]]
+        short = prose(rng, "fr", rng.randint(14, 50)).split()
+        rows += [short, short + prose(rng, "fr", max(1, len(short) // 8)).split(), short[: -max(1, len(short) // 8)]]
+    got, want, pairs = similar_components(spark, [" ".join(w) for w in rows])
+    assert got == want and len(pairs) > 200
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7), (1, 0)]
