@@ -31,18 +31,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs, COLUMNS).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a written number `row`, as doc_id may be null or repeated."""
+    return shared.stage_table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered", whole=True)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of equal or similar ones (five-word shingles, 0.8 or more)."""
-    named = simhash.similar_documents(docs)
-    gone = shared.stage_table(named.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of equal or similar ones (five-word shingles, 0.8 or more): of the smallest doc_id, null being the greatest."""
+    docs = _numbered(docs)
+    named = shared.stage_table(simhash.similar_documents(docs.select(F.col("row").alias("doc_id"), "text")).filter("doc_id is not null").withColumnRenamed("doc_id", "row"), "near-rows")
+    many = named.filter("row <> component_id").select("component_id").distinct()
+    groups = shared.stage_table(named.join(many, "component_id").join(docs.select("row", "doc_id"), "row"), "near-groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("component_id", F.col("first.row").alias("kept"))
+    gone = shared.stage_table(groups.join(first, "component_id").filter("row <> kept").select("row"), "near-duplicates")
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of the benchmark."""
-    found = decontamination.contamination(docs, shared.read(spark, sf_dir, "benchmark"))
-    gone = shared.stage_table(found.filter("n_hit > 0").select("doc_id"), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _numbered(docs)
+    found = decontamination.contamination(docs.select(F.col("row").alias("doc_id"), "text"), shared.read(spark, sf_dir, "benchmark"))
+    gone = shared.stage_table(found.filter("n_hit > 0").select(F.col("doc_id").alias("row")), "contaminated")
+    return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

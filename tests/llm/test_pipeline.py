@@ -55,6 +55,19 @@ def test_stages(spark, sf):
     assert pieces.select("doc_id").distinct().count() == len(left)
 
 
+def test_stages_with_null_and_repeated_ids(spark, sf, clean):
+    texts = [r[1] for r in clean if r[1]]
+    passage = " ".join(texts[4].split()[2:14])
+    copy, other, third = "one text that several rows of the table hold in full", "a second text that shares its number with another row", "a third text which only a row without a number has"
+    rows = [(7, copy), (None, copy), (7, copy), (None, third), (None, third), (8, other), (8, third + " and more words than that one has"), (None, passage), (9, passage), (9, other + " but no passage")]
+    docs = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in rows], SCHEMA)
+    key = lambda r: (str(r[0]), r[1])
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()), key=key)
+    assert left == sorted([(7, copy), (None, third), *rows[5:7], (9, passage), rows[9]], key=key)
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, sf).collect()), key=key)
+    assert left == sorted([r for r in rows if r[1] != passage], key=key)
+
+
 def test_run_and_stage_order(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash", "decontamination", "packing"]
     out = corpus_pipeline.run(spark, sf)
