@@ -1,10 +1,9 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Every line of every text and, for files that have such a line, the whole text are compared with
-the templates' vectors. Terms are runs of ASCII letters and digits (dotted numbers together) but STOP; weights are counts times the
-inverse document frequency over the templates, unknown terms having the greatest. Only lines that hold a cue term are
-split into terms: a template's cue terms are its heaviest ones, so many that the others' norm stays under THRESHOLD,
-hence no line without one can reach it.
+DataFrame functions only. Every line and every whole text are compared with the templates' vectors. Terms are runs of
+ASCII letters and digits (dotted numbers together) but STOP; weights are counts times the inverse document frequency over
+the templates, unknown terms having the greatest. Only lines and texts that hold a cue term are split into terms: a template's cue terms are its heaviest ones, so many that the others' norm stays under THRESHOLD,
+hence neither a line nor a text without one can reach it.
 
 A file's own licence is that of its best line or of its whole text at THRESHOLD or above (ties: the first line, then the
 first template by name). A file declares its licence for its directory if it is a licence file: by its base name, or if
@@ -109,8 +108,8 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = stage_table(rows.select(F.monotonically_increasing_id().alias("row"), "id", "path", "text"), "license-cues", whole=True)
     lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("line", "unit")).filter(F.col("unit").rlike(cue))
     best = _cosines(lines, ["row", "line"], threshold).groupBy("row").agg(F.min_by("best", F.struct(-F.col("best.score"), "line")).alias("best"))
-    whole = _cosines(rows.join(best.select("row"), "row", "left_semi").select("row", F.col("text").alias("unit")), ["row"], threshold).select("row", F.col("best").alias("all"))
-    own = rows.join(best, "row").join(whole, "row", "left").withColumn("own", F.when(F.col("all.score") > F.col("best.score"), F.col("all")).otherwise(F.col("best")))
+    whole = _cosines(rows.select("row", F.col("text").alias("unit")), ["row"], threshold).select("row", F.col("best").alias("all"))
+    own = rows.join(best.join(whole, "row", "full"), "row").withColumn("own", F.when(F.col("best").isNull() | (F.col("all.score") > F.col("best.score")), F.col("all")).otherwise(F.col("best")))
     own = stage_table(own.select("id", "path", "own", F.col("all").isNotNull().alias("file")), "license-own")
     declared = own.filter(F.col("path").isNotNull() & (F.col("file") | F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME)))
     declared = stage_table(declared.groupBy(_parent(F.col("path")).alias("dir")).agg(F.min_by("own", F.struct("id", "path")).alias("given")), "license-dirs")

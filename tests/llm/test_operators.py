@@ -478,6 +478,14 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(license_scan.document_files(empty)).count() == 0
 
 
+def test_license_scan_of_wrapped_statements(spark):
+    import textwrap
+
+    files = [(i, f"w/{i}/x.c", textwrap.fill(text, 24)) for i, (_, text) in enumerate(license_scan.TEMPLATES)]
+    got = {r.id: (r.license, r.origin) for r in license_scan.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert got == {i: (name, "own") for i, (name, _) in enumerate(license_scan.TEMPLATES)}
+
+
 def test_no_python_in_native_plans(docs):
     for df in (multiset_hash.fingerprint_edits(docs), license_scan.scan(license_scan.document_files(docs.drop("id", "path")))):
         plan = df._jdf.queryExecution().toString()
