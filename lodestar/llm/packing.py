@@ -85,14 +85,14 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = WINDOW) -> tuple[np.nda
 
 
 class Encoder:
-    """Ids as by tokenizers; texts of plain code points go through the same vocabulary as ranks, which is faster."""
+    """Ids as by tokenizers; texts of plain code points without an added token go through the same vocabulary as ranks, which is faster."""
 
     def __init__(self, json_path: str, ranks_path: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(json_path)
-        self.full.encode_special_tokens = True
+        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -102,7 +102,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and _PLAIN.fullmatch(text):
+        if self.fast and _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
 

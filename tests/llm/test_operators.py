@@ -79,6 +79,16 @@ def test_encoders_agree(messy):
         assert e.ids(text) == e.full.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_encoded_as_by_the_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, plain = packing.Encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(path)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "漢 <|endoftext|>", "<|endoftext |> a"]:
+        assert e.ids(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 # line dedup
 
 
