@@ -45,15 +45,40 @@ def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder that all executors share, as a URI; where none is set (as in tests), one below the warehouse."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{qualified(spark, top).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the stage tables and archives of this application, once no DataFrame that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+    _written.clear()
+
+
+#: Paths of the stage tables of this process, in the order in which they were written.
+_written: list[str] = []
+
+
+def mark() -> int:
+    return len(_written)
+
+
+def finish(df: DataFrame, name: str, since: int, whole: bool = False) -> DataFrame:
+    """Writes df as a stage table and deletes those written since the mark, which only df needed."""
+    used = _written[since:]
+    out = stage_table(df, name, whole)
+    for path in used:
+        _delete(df.sparkSession, path)
+    _written[since : since + len(used)] = []
+    return out
 
 
 def stage_table(df: DataFrame, name: str, whole: bool = False) -> DataFrame:
@@ -67,6 +92,7 @@ def stage_table(df: DataFrame, name: str, whole: bool = False) -> DataFrame:
         df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -132,9 +158,12 @@ class Rolling:
                 setattr(self, name, np.multiply.accumulate(p))
 
     def prefix(self, data: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-        self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((self.table if table is None else table)[data] * self.up[: len(data)], out=sums[1:])
+        return self.sums((self.table if table is None else table)[data])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        self._powers(len(values) + 1)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=sums[1:])
         return sums
 
     def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
