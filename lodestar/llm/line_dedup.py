@@ -1,13 +1,15 @@
 """Line deduplication over all documents.
 
-Two Bloom filters hold the line keys seen once and seen twice: every task sets bits for the distinct keys of its
-documents, a bit that is set again goes to the second filter, and merging two tasks' filters moves their common bits
-there. Only lines whose bits are all in the second filter are suspected repeats; their digests shuffle, are confirmed
-exactly, and the smallest doc_id of each wins. The filters' size follows the corpus up to MOST_BITS (a fixed bound of
-what is broadcast); beyond it more lines are suspected, never fewer, and the result stays exact.
+Every line key is known by 128 bits of its SHA-256. Keys are dealt out by the range of their first 64 bits; each range has
+two Bloom filters of its own, of bits that were set once and bits that were set twice, sized by the keys that fall there:
+a key whose bits are all set already goes to the second filter. Only keys with all their bits in the second filter are
+suspected repeats; those shuffle by key, are confirmed exactly, and the smallest doc_id of each wins. So a filter is as
+large as a task's share of the input, whatever the input's size, and nothing is collected or broadcast.
+
+A key that several documents of one batch hold is known to repeat: its rows skip the filters, and one row stands for them
+in its range, so that a very common line brings a range a row for each batch at most.
 
 A key is the line without ASCII white space at both ends, A-Z lower-cased; keys under MIN_CHARS code points always stay.
-A suspect is known by the SHA-256 of its key.
 
 Edge cases: a null or empty text is one empty line; rows that share a doc_id count as one document; a null doc_id takes
 no part (its lines stay and count for nobody); an empty table gives no rows; other columns pass through unread.
@@ -16,23 +18,22 @@ no part (its lines stay and count for nobody); an empty table gives no rows; oth
 from __future__ import annotations
 
 import hashlib
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import BitFilter, as_text, power_of_two, read, stage_table, through_python
+from lodestar.llm.shared import BitFilter, power_of_two, read, stage_table, through_python
 
 MIN_CHARS = 10
 SPACE = " \t\n\x0b\x0c\r"
-#: Bits of each filter: BITS_PER_LINE for each line expected, MOST_BITS at most (8 MB).
-BITS_PER_LINE, LINE_CHARS, LEAST_BITS, MOST_BITS = 16, 200, 1 << 16, 1 << 26
-#: Filters travel in blocks of this many bytes, so that merging holds no more than a task's blocks.
-BLOCK = 1 << 15
+#: Bits of each filter for a key that its range has.
+BITS_PER_KEY, LEAST_BITS, HASHES = 16, 1 << 10, 3
+#: What a row says: a key to be filtered, a key that is known to repeat, or the one that stands for such a key in its range.
+OPEN, KNOWN, STANDS = 0, 1, 2
 _UPPER = bytes(range(65, 91))
 _LOWER = _UPPER.lower()
 _TABLE = bytes.maketrans(_UPPER, _LOWER)
@@ -47,85 +48,74 @@ def keys(text: str | None) -> list[bytes | None]:
     return out
 
 
-def _hashes(found: set[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in found), np.uint64, len(found))
-
-
-def _bit_blocks(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordBatch]:
-    once, twice = np.zeros(n_bits, bool), np.zeros(n_bits, bool)
+def _key(k: bytes) -> bytes:
+    return hashlib.sha256(k).digest()[:16]
 
-    def put(h: list[np.ndarray]) -> None:
-        # a key of one document sets each bit once; counts over documents tell which bits were set before
-        places = np.concatenate([p for x in h for p in BitFilter.places(x, n_bits, 3)]).astype(np.int64) if h else np.zeros(0, np.int64)
-        places, n = np.unique(places, return_counts=True)
-        twice[places[(n > 1) | once[places]]] = True
-        once[places] = True
 
-    any_row = False
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different key of a document: the key's two halves, the document, and what the batch knows of it."""
     for batch in batches:
-        held: list[np.ndarray] = []
+        keyed: list[bytes] = []
+        ids: list[int] = []
+        docs: dict[int, set[bytes]] = {}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            any_row = True
             if doc_id is not None:
-                held.append(_hashes({k for k in keys(text.as_py()) if k is not None}))
-            if len(held) >= 256:
-                put(held)
-                held = []
-        put(held)
-    if any_row:
-        a, b = np.packbits(once, bitorder="little"), np.packbits(twice, bitorder="little")
-        for at in range(0, len(a), BLOCK):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([at // BLOCK], pa.int32()), "once": [zlib.compress(a[at : at + BLOCK].tobytes(), 1)], "twice": [zlib.compress(b[at : at + BLOCK].tobytes(), 1)]})
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for block, once, twice in zip(*(batch.column(c).to_pylist() for c in ("block", "once", "twice")), strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (once, twice))
-            if block in have:
-                c, d = have[block]
-                a, b = a | c, b | d | (a & c)
-            have[block] = a, b
-    for block, (a, b) in have.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "once": [zlib.compress(a.tobytes(), 1)], "twice": [zlib.compress(b.tobytes(), 1)]})
-
-
-def twice_filter(docs: DataFrame) -> BitFilter:
-    """The filter of keys seen twice, merged on the executors block by block, of at most MOST_BITS."""
-    chars = docs.agg(F.sum(F.octet_length(as_text()))).first()[0] or 0
-    n_bits = power_of_two(chars / LINE_CHARS * BITS_PER_LINE, LEAST_BITS, MOST_BITS)
-    parts = through_python(docs.select("doc_id", "text"), lambda it: _bit_blocks(it, n_bits), "block int, once binary, twice binary")
-    merged = through_python(parts.repartition("block"), _merged, "block int, once binary, twice binary").select("block", "twice").collect()
-    bits = np.zeros(n_bits // 8, np.uint8)
-    for row in merged:
-        part = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-        bits[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    return BitFilter(bits, 3)
-
-
-def _suspects(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    twice = held.value
+                docs.setdefault(doc_id, set()).update(_key(k) for k in set(keys(text.as_py())) if k is not None)
+        for doc_id, found in docs.items():
+            keyed += found
+            ids += [doc_id] * len(found)
+        often = Counter(keyed)
+        kinds = [OPEN if often[k] == 1 else KNOWN for k in keyed]
+        for k in (k for k, n in often.items() if n > 1):
+            keyed.append(k)
+            ids.append(0)
+            kinds.append(STANDS)
+        h, rest = np.frombuffer(b"".join(keyed), np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rest), pa.array(ids, pa.int64()), pa.array(kinds, pa.int8())], names=["h", "rest", "doc_id", "kind"])
+
+
+def twice(h: np.ndarray) -> BitFilter:
+    """The filter of the hashes that stand at two places at least, and of few others."""
+    n_bits = power_of_two(len(h) * BITS_PER_KEY, LEAST_BITS, 1 << 62)
+    once, again = np.zeros(n_bits, bool), np.zeros(n_bits, bool)
+    places = np.stack([p.astype(np.int64) for p in BitFilter.places(h, n_bits, HASHES)]) if len(h) else np.zeros((HASHES, 0), np.int64)
+    for at in range(0, len(h), 1 << 14):
+        # a hash has each of its bits once; counts tell which bits were set before
+        found, n = np.unique(np.sort(places[:, at : at + (1 << 14)], axis=0).ravel(), return_counts=True)
+        again[found[(n > 1) | once[found]]] = True
+        once[found] = True
+    return BitFilter(np.packbits(again, bitorder="little"), HASHES)
+
+
+def _filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is known to repeat, and of a range's other keys those that its second filter has."""
+    held = []
     for batch in batches:
-        ids: list[int] = []
-        digests: list[bytes] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            if doc_id is None:
-                continue
-            found = list({k for k in keys(text.as_py()) if k is not None})
-            hit = np.flatnonzero(twice.has(_hashes(found))) if found else ()
-            digests += [hashlib.sha256(found[i]).digest() for i in hit]
-            ids += [doc_id] * len(hit)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+        kind = batch.column("kind").to_numpy()
+        yield batch.filter(pa.array(kind == KNOWN)).select(["h", "rest", "doc_id"])
+        held.append(batch.filter(pa.array(kind != KNOWN)))
+    if held:
+        table = pa.Table.from_batches(held)
+        h = table.column("h").to_numpy().view(np.uint64)
+        hit = twice(h).has(h) & (table.column("kind").to_numpy() == OPEN)
+        yield from table.filter(pa.array(hit)).select(["h", "rest", "doc_id"]).combine_chunks().to_batches()
+
+
+def suspected(docs: DataFrame) -> DataFrame:
+    """h, rest, doc_id: keys that may repeat, among them all that do."""
+    rows = through_python(docs.select("doc_id", "text"), _keyed, "h long, rest long, doc_id long, kind byte")
+    # rows that pass the filters by are spread by their document
+    rows = rows.repartition(F.when(F.col("kind") == KNOWN, F.xxhash64("doc_id", "rest")).otherwise(F.col("h")))
+    return through_python(rows, _filtered, "h long, rest long, doc_id long")
 
 
 def _drop(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, totals, dropped = [], [], []
         for text, gone in zip(batch.column("text"), batch.column("__gone"), strict=True):
-            text, gone = text.as_py(), set(gone.as_py() or ())
+            text, gone = text.as_py(), {g["h"].to_bytes(8, "little", signed=True) + g["rest"].to_bytes(8, "little", signed=True) for g in gone.as_py() or ()}
             lines = (text or "").split("\n")
-            kept = [line for line, k in zip(lines, keys(text), strict=True) if k is None or hashlib.sha256(k).digest() not in gone] if gone else lines
+            kept = [line for line, k in zip(lines, keys(text), strict=True) if k is None or _key(k) not in gone] if gone else lines
             texts.append("\n".join(kept))
             totals.append(len(lines))
             dropped.append(len(lines) - len(kept))
@@ -134,14 +124,12 @@ def _drop(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
 
 def line_dedup(docs: DataFrame, keep: list[str] = ("doc_id", "text")) -> DataFrame:
     """The documents (columns `keep`) with repeated lines taken out of `text`, and n_lines, n_dropped."""
-    names = list(keep)
-    spark = docs.sparkSession
+    names, key = list(keep), ["h", "rest"]
     docs = docs.select(*names).withColumn("doc_id", F.col("doc_id").cast("long"))
-    held = spark.sparkContext.broadcast(twice_filter(docs))
-    suspects = stage_table(through_python(docs.select("doc_id", "text"), lambda it: _suspects(it, held), "key binary, doc_id long"), "line-suspects", whole=True)
-    first = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    suspects = stage_table(suspected(docs), "line-suspects", whole=True)
+    first = suspects.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     first = stage_table(first, "line-firsts", whole=True)  # read anew, so that the join can split a very common line
-    gone = suspects.join(first, "key").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("key").alias("__gone"))
+    gone = suspects.join(first, key).filter("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct(*key)).alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return through_python(docs.join(gone, docs["doc_id"] == gone["__doc"], "left").drop("__doc"), lambda it: _drop(it, names), f"{fields}, text string, n_lines long, n_dropped long")
