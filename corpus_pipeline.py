@@ -39,7 +39,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal or similar ones (five-word shingles, 0.8 or more): of the smallest doc_id, null being the greatest."""
     docs = _numbered(docs)
-    named = shared.stage_table(simhash.similar_documents(docs.select(F.col("row").alias("doc_id"), "text")).filter("doc_id is not null").withColumnRenamed("doc_id", "row"), "near-rows")
+    since = shared.mark()
+    named = shared.finish(simhash.similar_documents(docs.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "near-rows", since)
     many = named.filter("row <> component_id").select("component_id").distinct()
     groups = shared.stage_table(named.join(many, "component_id").join(docs.select("row", "doc_id"), "row"), "near-groups")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("component_id", F.col("first.row").alias("kept"))
@@ -50,8 +51,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of the benchmark."""
     docs = _numbered(docs)
+    since = shared.mark()
     found = decontamination.contamination(docs.select(F.col("row").alias("doc_id"), "text"), shared.read(spark, sf_dir, "benchmark"))
-    gone = shared.stage_table(found.filter("n_hit > 0").select(F.col("doc_id").alias("row")), "contaminated")
+    gone = shared.finish(found.filter("n_hit > 0").select(F.col("doc_id").alias("row")), "contaminated", since)
     return docs.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
@@ -64,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all documents."""
+    """The rows of the last stage over all documents; what a stage wrote for itself goes with it."""
     docs = shared.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}", whole=True)
+        since = shared.mark()
+        docs = shared.finish(stage(spark, docs, sf_dir), f"pipeline-{name}", since, whole=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,10 +11,11 @@ whole, with every set of DISTANCE bits as wildcards. Fingerprints with such a ke
 
 A shingle is SHINGLE words in a row (all words of a shorter text); words are split at ASCII white space, A-Z lower-cased.
 
-`similar_documents` finds all documents whose five-word shingles agree to SIMILARITY or more, by an exact prefix join: of two
-such texts with their shingles in one order, rarest first, the first n - ceil(SIMILARITY * n) + 1 have one in common. Each
-shared shingle of a crowded kind first joins its members to its smallest and largest; then all pairs that share one and
-are in different components are compared by the shingles of the whole texts, wherever sizes and places allow it.
+`similar_documents` finds all documents whose five-word shingles agree to SIMILARITY or more. Deletion variants of a
+fingerprint of those shingles propose the first pairs. What they don't reach is found by an exact prefix join: of two
+such texts with their shingles in one order, rarest first, the first n - ceil(SIMILARITY * n) + 1 have one in common.
+Each shared shingle first joins its members to its smallest one; then all pairs that share one and are in different
+components are compared, wherever sizes and places allow the similarity. Whole texts decide on every pair.
 
 Edge cases: null and empty texts have the fingerprint zero, linked like any other; repeated rows and ties fall into one
 component, named by its smallest doc_id; rows with a null doc_id keep their fingerprint and may have a component of
@@ -37,8 +38,8 @@ from lodestar.llm.shared import mixed, read, spread, stage_table, through_python
 
 SHINGLE, DISTANCE, BUCKET = 3, 2, 64
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Documents in expectation, and shingles, that tell which shingles are common.
-ORDER_DOCS, ORDER_SHINGLES = 20_000, 1 << 18
+#: The share of documents that tells which shingles are common, and the most shingles that are told apart from rare ones.
+ORDER_SHARE, ORDER_SHINGLES = 0.125, 1 << 18
 BITS, SEED = 64, 42
 #: Fingerprints whose variants one task makes.
 SPREAD_ROWS = 10_000
@@ -46,17 +47,21 @@ _UPPER = bytes(range(65, 91))
 _TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     if not words:
         return 0
     rows = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    h = np.array([digest(join(x), SEED) for x in rows], "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(join(x), SEED) for x in rows], "<u8"))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -156,8 +161,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample of the documents, and how often. They only order the shingles: any order gives the same links."""
-    share = min(1.0, ORDER_DOCS / max(1, docs.count()))
-    seen = through_python(docs.sample(share, SEED).select("text"), _shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    seen = through_python(docs.sample(ORDER_SHARE, SEED).select("text"), _shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
     found = seen.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
     h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
@@ -166,15 +170,16 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, ranks: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        same, sizes, first = [], [], []
+        same, sizes, prints, first = [], [], [], []
         for text in b.column("text"):
             words = _words(text.as_py())
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
             # with fewer words than a shingle has, only equal texts are similar
             hashes = shingle_hashes(words)
             sizes.append(len(hashes))
+            prints.append(_signed(majority(hashes)))
             first.append(prefix(hashes, common, ranks, similarity).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "prefix"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "fp", "prefix"])
 
 
 def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int = SIMILAR_SHINGLE) -> float:
@@ -190,15 +195,33 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose whole texts are similar."""
+def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole texts are similar.
+
+    Up to the end of the prefix that ends first the shared shingles are known; from there the texts have no more in common
+    than the one with fewer shingles left has. Only pairs that may still be similar load their texts.
+    """
     near = stage_table(pairs, "similar-pairs")
-    used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    for end in ("a", "b"):
+        near = near.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("prefix").alias(f"prefix_{end}")), end)
+    both = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest(F.col("size_a") - F.size("prefix_a"), F.col("size_b") - F.size("prefix_b"))
+    near = stage_table(near.filter(both >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b"), "similar-open-pairs")
+    used = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts", whole=True)
     both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return stage_table(through_python(both, lambda it: _similar(it, similarity), "a long, b long"), "similar-links")
 
 
+def _signature_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of texts whose fingerprints are equal or linked; of equal ones each with the smallest."""
+    first = stage_table(nodes.groupBy("fp").agg(F.min("node").alias("first")), "similar-fps", whole=True)
+    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select("fp"))
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
+    return equal.unionByName(near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
+
+
 def _fit(similarity: float):
     """Whether sizes, and the places of a hash in both prefixes, still allow the similarity."""
     n, m = F.col("x.size"), F.col("y.size")
@@ -206,12 +229,11 @@ def _fit(similarity: float):
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (rest >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
 
-def _ends(held: DataFrame) -> DataFrame:
-    """Pairs a, b of each member of a crowded hash and the hash's smallest and largest member."""
-    crowded = held.filter(F.col("members") > BUCKET)
-    ends = stage_table(crowded.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")), "similar-ends")
-    met = crowded.join(ends, "h").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node <> end")
-    return met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+def _first_pairs(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of each member of a hash and the hash's smallest member."""
+    ends = stage_table(held.groupBy("h").agg(F.min(F.struct("node", "size", "at")).alias("lo")).select("h", "lo.*"), "similar-ends", whole=True)
+    met = held.alias("x").join(ends.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") > F.col("y.node")) & _fit(similarity))
+    return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
 def _across(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -231,16 +253,21 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     """doc_id, component_id: equal texts (but for white space and A-Z), and chains of documents with that similarity of shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common, ranks = _common(docs)
-    prints = stage_table(through_python(docs, lambda it: _prefixes(it, common, ranks, similarity), "doc_id long, same binary, size int, prefix array<long>"), "similar-prints", whole=True)
-    nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "similar-nodes", whole=True)
-    rows = nodes.filter("node is not null").select("node", "size", F.posexplode("prefix").alias("at", "h"))
+    prints = stage_table(through_python(docs, lambda it: _prefixes(it, common, ranks, similarity), "doc_id long, same binary, size int, fp long, prefix array<long>"), "similar-prints", whole=True)
+    nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "similar-nodes", whole=True)
+    some = nodes.filter("node is not null and size > 0")
+    rows = some.select("node", "size", F.posexplode("prefix").alias("at", "h"))
     shared = stage_table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "similar-shared", whole=True)
     held = stage_table(rows.join(shared, "h"), "similar-held", whole=True)
-    # most of a large group hangs together through the ends of its hashes; what is connected by then need not meet
-    links = _compared(docs, _ends(held), similarity)
-    links = links.unionByName(_compared(docs, _across(held, components(links), similarity), similarity))
-    roots = components(links)
-    named = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    # most of a large group hangs together by its signatures and the smallest members of its shingles; what is connected by then need not meet
+    found = _compared(docs, some, _signature_pairs(some.select("node", "fp")).unionByName(_first_pairs(held, similarity)).distinct(), similarity)
+    roots = stage_table(components(found), "similar-roots")
+    found = _compared(docs, some, _across(held, roots, similarity), similarity)
+    for end in ("a", "b"):  # links between the components found so far
+        found = found.join(roots.select(F.col("node").alias(end), "root"), end, "left").select(F.coalesce("root", end).alias(end), "b" if end == "a" else "a")
+    tops = components(found.distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    named = nodes.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    named = named.join(tops, "root", "left").select("same", F.coalesce("top", "root").alias("component_id"))
     return prints.select("doc_id", "same").join(stage_table(named, "similar-named"), "same").select("doc_id", "component_id")
 
 

@@ -118,6 +118,23 @@ def test_line_keys():
     assert line_dedup.keys(None) == [None]
 
 
+def test_filters_of_a_range():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 500, 200_000):
+        h = rng.integers(0, 2**64, n, dtype=np.uint64)
+        f = line_dedup.twice(np.r_[h, h[: n // 10]])
+        assert f.has(h[: n // 10]).all() and f.has(h[n // 10 :]).sum() <= 0.02 * n  # of any size, few single ones are suspected
+
+
+def test_a_line_that_most_documents_hold(spark):
+    rows = [(i, f"the common line\nline number {i % 700} of its own\n{'the common line' if i % 3 else 'shorter'}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in line_dedup.line_dedup(df).select("doc_id", "text", "n_lines", "n_dropped").collect()]
+    assert sorted(got) == sorted(plain_lines(rows))
+    kept = line_dedup.suspected(df).count()
+    assert kept == sum(len({k for k in line_dedup.keys(t) if k}) for _, t in rows)
+
+
 def test_bit_filter_has_no_false_negatives():
     h = np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64)
     f = BitFilter.of(h[:2500], 1 << 16)
@@ -221,8 +238,15 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1000, 6, 0])
-def test_suffix_dedup(spark, docs, messy, empty, crowd):
+def plain_passages(texts, n):
+    """Words of each text that lie in n words in a row that also start elsewhere."""
+    split = [re.findall(rb"[^ \t-\r]+", t) for t in texts]
+    c = collections.Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    return [len({i + k for i in range(len(w) - n + 1) if c[tuple(w[i : i + n])] > 1 for k in range(n)}) for w in split]
+
+
+@pytest.mark.parametrize("most", [1000, 6, 0])
+def test_suffix_dedup(spark, docs, messy, empty, most):
     rng = np.random.default_rng(8)
     base = rng.integers(97, 105, 200).astype(np.uint8)
     texts = [r[1] for r in messy]
@@ -230,14 +254,30 @@ def test_suffix_dedup(spark, docs, messy, empty, crowd):
         x = base.copy()
         x[rng.integers(0, 200, rng.integers(0, 5))] = 122
         texts.append((rng.integers(97, 105, 30).astype(np.uint8).tobytes() + x[rng.integers(0, 30) :].tobytes()).decode())
+    words = prose(random.Random(5), "fr", 60).split()
+    for i in range(40):  # passages of words, with blanks of any kind
+        w = [*words[i % 7 : 30 + i % 9], *prose(random.Random(i), "de", 9).split(), *words[i % 5 : 20]]
+        w[i % len(w)] = "other"
+        texts.append((" ", "\t", " \n ")[i % 3].join(w))
     df = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, 40, 8, crowd).collect()]
-    assert sorted(got) == sorted(plain_repeats([(t or "").encode() for t in texts], 40))
-    if crowd == 6:
+    got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passage_words) for r in suffix_dedup.remove_repeats(df, 40, 8, most, passage=11, passage_gram=3).collect()]
+    bodies = [(t or "").encode() for t in texts]
+    want = [(*x, n) for x, n in zip(plain_repeats(bodies, 40), plain_passages(bodies, 11), strict=True)]
+    assert sorted(got) == sorted(want) and sum(w[-1] > 0 for w in want) > 40
+    if most == 6:
         assert suffix_dedup.remove_repeats(docs).count() == len(messy)
         assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_words_of_a_buffer():
+    texts = [b"", b"one", b" two  three\n", b"\x0b", b"four", b"five six", b""]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at, start, end = suffix_dedup.word_ends(off, data)
+    assert [[data[a:b].tobytes() for a, b in zip(start[i:j], end[i:j], strict=True)] for i, j in zip(at[:-1], at[1:], strict=True)] == [t.split() for t in texts]
+    assert [len(x) for x in suffix_dedup.word_ends(np.zeros(2, np.int64), np.zeros(0, np.uint8))] == [2, 0, 0]
+
+
 def test_interval_expansion():
     rng = random.Random(2)
     for length in (1, 2, 5, 9):
@@ -399,9 +439,7 @@ def test_similar_documents(docs, messy, empty, spark):
     links = [(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids)) if simhash.shingle_similarity(words[ids[i]], words[ids[j]]) >= 0.8]
     want = plain_components(len(ids), links)
     want = {d: ids[w] for d, w in zip(ids, want)}
-    missed = [d for d in ids if got[d] != want[d]]
-    assert all(got[d] >= want[d] for d in ids) and len(missed) <= 2 and len(links) > 5  # never more than similar; few are missed
-    assert all(want[a] == want[d] for d, a in got.items())
+    assert got == want and len(links) > 5
     assert simhash.similar_documents(empty).count() == 0
 
 
@@ -419,7 +457,7 @@ def test_similar_documents_recall(spark):
     words = [r.encode().split() for r in rows]
     pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, min(len(rows), i + 4)) if simhash.shingle_similarity(words[i], words[j]) >= 0.8]
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    assert len(pairs) > 100 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.97
+    assert len(pairs) > 100 and all(got[a] == got[b] for a, b in pairs)
 
 
 def similar_components(spark, rows):
