@@ -1,14 +1,18 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Every line and every whole text are compared with the templates' vectors. Terms are runs of
-ASCII letters and digits (dotted numbers together) but STOP; weights are counts times the inverse document frequency over
-the templates, unknown terms having the greatest. Only lines and texts that hold a cue term are split into terms: a template's cue terms are its heaviest ones, so many that the others' norm stays under THRESHOLD,
-hence neither a line nor a text without one can reach it.
+DataFrame functions only. The units of a file are its lines, blocks of neighbouring lines (of each size in BLOCKS, a new
+one at every half of it) and its whole text; every unit is compared with the templates' vectors, which are short forms,
+file headers and licence texts. Terms are runs of ASCII letters and digits (dotted numbers together) but STOP; weights are
+counts times the inverse document frequency over the templates, unknown terms having the greatest.
 
-A file's own licence is that of its best line or of its whole text at THRESHOLD or above (ties: the first line, then the
-first template by name). A file declares its licence for its directory if it is a licence file: by its base name, or if
-its whole text reaches THRESHOLD. Of several in one directory the one with the smallest id counts. A file without own
-licence inherits from the nearest ancestor directory that declares one, its own directory included.
+Two bounds leave units out that can't reach THRESHOLD: one without a cue term (a template's cue terms are its heaviest
+ones, so many that the others' norm stays under THRESHOLD), and one whose unknown terms alone outweigh what its known ones
+can be. Of the others only the known terms are dealt out; the unknown ones' norm is summed within the row.
+
+A file's own licence is that of its best unit at THRESHOLD or above (ties: the smaller kind of unit, the first, then the
+first licence by name). A file declares its licence for its directory if it is a licence file: by its base name, or if its
+whole text reaches THRESHOLD. Of several in one directory the one with the smallest id counts. A file without own licence
+inherits from the nearest ancestor directory that declares one, its own directory included.
 
 Edge cases: null and empty texts have no own licence; a null path has no ancestors and declares nothing; rows that share
 id and path (null or not) are one file, with the best licence of any, and each get a row; other columns are ignored; an empty table gives no rows.
@@ -25,11 +29,13 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import as_text, read, stage_table
 
 THRESHOLD = 0.6
+#: Lines of a block; a line is a unit of size 1, the whole text one of size WHOLE.
+BLOCKS, WHOLE = (4, 16), 1 << 30
 #: Function words of English, which are no terms.
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "was", "with")
+STOP = ("a", "all", "an", "and", "any", "are", "as", "at", "be", "but", "by", "do", "even", "for", "from", "have", "if", "in", "into", "is", "it", "no", "not", "of", "on", "one", "or", "other", "see", "shall", "should", "so", "such", "that", "the", "these", "this", "to", "under", "was", "we", "whether", "which", "whom", "will", "with", "you", "your")
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
-#: Short forms as they stand in file headers; a licence may have several.
+#: Short forms, headers and texts as they stand in files; a licence may have several.
 TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -49,6 +55,29 @@ TEMPLATES = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+     "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+     "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
 
@@ -77,16 +106,61 @@ def _vectors(templates: list[tuple[str, str]], threshold: float) -> tuple[list[t
     return rows, idf, math.log(1 + n) + 1, sorted(cues)
 
 
-def _cosines(units: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """The best template of each unit (keys, unit: text in lower case) that reaches the threshold: licence and score."""
-    spark = units.sparkSession
+def _any_of(words: list[str]) -> str:
+    """A pattern that matches any of the words, common beginnings taken together."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [re.escape(c) + pattern(rest) for c, rest in sorted(node.items()) if c]
+        inner = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")" if parts else ""
+        return f"(?:{inner})?" if "" in node and inner else inner
+
+    return pattern(tree)
+
+
+def _units(files: DataFrame, threshold: float) -> DataFrame:
+    """row, id, path, size, line, other (sum of squared counts of unknown terms), known (terms) of the units that may reach the threshold."""
+    _, idf, _, cues = _vectors(TEMPLATES, threshold)
+    cue = rf"(?:^|[^a-z0-9])(?:{_any_of(cues)})(?:[^a-z0-9]|$)"
+    files = files.withColumn("text", _lower(as_text())).filter(F.col("text").rlike(cue))
+    terms = F.transform(F.split("text", "\n"), lambda x: F.filter(F.regexp_extract_all(x, F.lit(f"({TERM})"), 1), lambda t: ~t.isin(*STOP)))
+    files = files.select(F.monotonically_increasing_id().alias("row"), "id", "path", terms.alias("lines")).withColumn("n", F.size("lines"))
+    unit = lambda size, line, found: F.struct(F.lit(size).alias("size"), line.cast("int").alias("line"), found.alias("terms"))
+    kinds = [F.transform("lines", lambda x, i: unit(1, i, x)), F.array(unit(WHOLE, F.lit(0), F.flatten("lines")))]
+    for size in BLOCKS:
+        starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1, F.lit(size // 2)), lambda i: F.col("n") > 1)
+        kinds.append(F.transform(starts, lambda i, size=F.lit(size): unit(size, i, F.flatten(F.slice("lines", i + 1, size)))))  # noqa: B008
+    units = files.select("row", "id", "path", F.explode(F.concat(*kinds)).alias("u")).select("row", "id", "path", "u.*")
+    units = units.filter(F.exists("terms", lambda t: t.isin(*cues)))
+    known = F.filter("terms", lambda t: t.isin(*idf))
+    units = units.select("row", "id", "path", "size", "line", known.alias("known"), F.filter("terms", lambda t: ~t.isin(*idf)).alias("unknown"))
+    # with a share s of the norm in known terms the cosine is s at most; n known ones weigh n times the greatest weight at most
+    units = units.filter(F.size("unknown") <= (1 / threshold**2 - 1) * F.size("known") * F.size("known") + 1e-6)
+    # within the sorted terms, a run of n adds 1 + 3 + ... + (2 n - 1) = n * n
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(acc: Column, t: Column) -> Column:
+        run = F.when(acc["last"] == t, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(t.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
+
+    return units.withColumn("other", F.aggregate(F.array_sort("unknown"), start, step, lambda acc: acc["sum"])).drop("unknown")
+
+
+def _cosines(units: DataFrame, threshold: float) -> DataFrame:
+    """The best template of each unit that reaches the threshold: row, size, line, best (license, score)."""
+    spark, keys = units.sparkSession, ["row", "size", "line"]
     rows, idf, most, _ = _vectors(TEMPLATES, threshold)
     terms = spark.createDataFrame([(t, v) for t, v in idf.items()], "term string, idf double")
     weights = spark.createDataFrame(rows, "template int, license string, term string, weight double")
-    tokens = units.select(*keys, F.explode(F.regexp_extract_all("unit", F.lit(f"({TERM})"), 1)).alias("term")).filter(~F.col("term").isin(*STOP)).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    tokens = tokens.join(F.broadcast(terms), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(most)))  # the templates' terms: a fixed few hundred rows
-    norms = tokens.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tokens.join(F.broadcast(weights), "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    found = units.select(*keys, "other", F.explode("known").alias("term")).groupBy(*keys, "other", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = stage_table(found.join(F.broadcast(terms), "term").withColumn("w", F.col("tf") * F.col("idf")).drop("idf", "tf"), "license-terms")  # the templates' terms: a fixed few hundred rows
+    norms = found.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("other") * F.lit(most * most)).alias("norm"))
+    dots = found.join(F.broadcast(weights), "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
     return scored.groupBy(*keys).agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "license")).alias("best"))
 
@@ -101,16 +175,11 @@ def _parent(path: Column) -> Column:
 
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """files: id, path, text. Returns id, path, license, score, origin (own, inherited, none), from_dir."""
-    cues = _vectors(TEMPLATES, threshold)[3]
-    cue = r"(^|[^a-z0-9])(" + "|".join(re.escape(c) for c in cues) + r")([^a-z0-9]|$)"
-    files = files.select("id", "path", as_text().alias("text"))
-    rows = files.withColumn("text", _lower(F.col("text"))).filter(F.col("text").rlike(cue))
-    rows = stage_table(rows.select(F.monotonically_increasing_id().alias("row"), "id", "path", "text"), "license-cues", whole=True)
-    lines = rows.select("row", F.posexplode(F.split("text", "\n")).alias("line", "unit")).filter(F.col("unit").rlike(cue))
-    best = _cosines(lines, ["row", "line"], threshold).groupBy("row").agg(F.min_by("best", F.struct(-F.col("best.score"), "line")).alias("best"))
-    whole = _cosines(rows.select("row", F.col("text").alias("unit")), ["row"], threshold).select("row", F.col("best").alias("all"))
-    own = rows.join(best.join(whole, "row", "full"), "row").withColumn("own", F.when(F.col("best").isNull() | (F.col("all.score") > F.col("best.score")), F.col("all")).otherwise(F.col("best")))
-    own = stage_table(own.select("id", "path", "own", F.col("all").isNotNull().alias("file")), "license-own")
+    files = files.select("id", "path", "text")
+    units = stage_table(_units(files, threshold), "license-units", whole=True)
+    best = _cosines(units, threshold).groupBy("row").agg(F.min_by("best", F.struct(-F.col("best.score"), "size", "line")).alias("own"), F.max(F.col("size") == WHOLE).alias("file"))
+    own = units.select("row", "id", "path").distinct().join(best, "row")
+    own = stage_table(own.select("id", "path", "own", "file"), "license-own")
     declared = own.filter(F.col("path").isNotNull() & (F.col("file") | F.regexp_extract("path", r"([^/]*)$", 1).rlike(FILE_NAME)))
     declared = stage_table(declared.groupBy(_parent(F.col("path")).alias("dir")).agg(F.min_by("own", F.struct("id", "path")).alias("given")), "license-dirs")
     dirs = files.select(_parent(F.col("path")).alias("of")).filter("of is not null").distinct()
@@ -145,29 +214,23 @@ def _oracle() -> str:
     weights = ", ".join(f"({k}, '{n}', '{t}', {w!r}::DOUBLE)" for k, n, t, w in rows)
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-    def cosine(name: str, keys: str) -> str:
-        on = " AND ".join(f"d.{k} = n.{k}" for k in keys.split(", "))
-        pick = ", ".join(f"d.{k}" for k in keys.split(", "))
-        return f"""{name}_t AS (SELECT {keys}, term, count(*) AS tf FROM (SELECT {keys}, unnest(regexp_extract_all(unit, '{TERM}')) AS term FROM {name}_u) WHERE term NOT IN {STOP} GROUP BY ALL),
-{name}_w AS (SELECT t.*, tf * coalesce(idf, {most!r}) AS w FROM {name}_t t LEFT JOIN terms USING (term)),
-{name}_n AS (SELECT {keys}, sqrt(sum(w * w)) AS norm FROM {name}_w GROUP BY {keys}),
-{name}_d AS (SELECT {keys}, template, license, sum(w * weight) AS dot FROM {name}_w JOIN weights USING (term) GROUP BY ALL),
-{name} AS (SELECT {pick}, license, round(dot / norm, 6) AS score FROM {name}_d d JOIN {name}_n n ON {on} WHERE round(dot / norm, 6) >= {THRESHOLD})"""
-
+    blocks = " UNION ALL ".join(f"SELECT doc_id, {n} AS size, i AS line, array_to_string(parts[i + 1:i + {n}], chr(10)) AS unit FROM parts, unnest(range(0, len(parts), {n // 2})) AS r(i) WHERE len(parts) > 1" for n in BLOCKS)
     return f"""
 WITH terms(term, idf) AS (VALUES {terms}), weights(template, license, term, weight) AS (VALUES {weights}),
 files AS (SELECT doc_id, {low} AS low, source || '/' || (doc_id // 1000) || '/' ||
   CASE WHEN doc_id % 20 <> 0 THEN (doc_id % 1000 // 50) || '/' ELSE '' END ||
   CASE WHEN length(split_part(coalesce(text, ''), chr(10), 1)) BETWEEN 1 AND 80 AND contains(lower(split_part(coalesce(text, ''), chr(10), 1)), 'licen')
     THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
-line_u AS (SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) AS line FROM (SELECT doc_id, string_split(low, chr(10)) AS parts FROM files)),
-{cosine("line", "doc_id, line")},
-best AS (SELECT doc_id, license, score FROM line QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) = 1),
-whole_u AS (SELECT doc_id, low AS unit FROM files SEMI JOIN best USING (doc_id)),
-{cosine("whole", "doc_id")},
-entire AS (SELECT doc_id, license, score FROM whole QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
-own AS (SELECT b.doc_id, path, CASE WHEN e.score > b.score THEN e.license ELSE b.license END AS license, greatest(b.score, coalesce(e.score, 0)) AS score,
-  e.score IS NOT NULL OR regexp_matches(path, '/LICENSE[.-]') AS file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM best b JOIN files USING (doc_id) LEFT JOIN entire e USING (doc_id)),
+parts AS (SELECT doc_id, string_split(low, chr(10)) AS parts FROM files),
+units AS (SELECT doc_id, 1 AS size, unnest(range(0, len(parts))) AS line, unnest(parts) AS unit FROM parts
+  UNION ALL SELECT doc_id, {WHOLE}, 0, low FROM files UNION ALL {blocks}),
+tokens AS (SELECT doc_id, size, line, term, count(*) AS tf FROM (SELECT doc_id, size, line, unnest(regexp_extract_all(unit, '{TERM}')) AS term FROM units) WHERE term NOT IN {STOP} GROUP BY ALL),
+w AS (SELECT t.*, tf * coalesce(idf, {most!r}) AS w FROM tokens t LEFT JOIN terms USING (term)),
+norms AS (SELECT doc_id, size, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dots AS (SELECT doc_id, size, line, template, license, sum(w * weight) AS dot FROM w JOIN weights USING (term) GROUP BY ALL),
+scored AS (SELECT doc_id, size, line, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, size, line) WHERE round(dot / norm, 6) >= {THRESHOLD}),
+best AS (SELECT doc_id, license, score, max(size) OVER (PARTITION BY doc_id) = {WHOLE} AS entire FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, size, line, license) = 1),
+own AS (SELECT doc_id, license, score, entire OR regexp_matches(path, '/LICENSE[.-]') AS file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM best JOIN files USING (doc_id)),
 declared AS (SELECT dir, license, score FROM own WHERE file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1),
 dirs AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS of FROM files),
 near AS (SELECT of, d.* FROM dirs JOIN declared d ON of = d.dir OR starts_with(of, d.dir || '/') QUALIFY row_number() OVER (PARTITION BY of ORDER BY length(d.dir) DESC) = 1)
