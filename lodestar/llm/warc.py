@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import qualified, read, shared_dir, stage_table, through_python
 
 MIN_BYTES, FILE_BYTES, GAP, RANGE_BYTES, LEVEL = 0, 1 << 30, 1 << 16, 8 << 20, 3
+#: Bytes of archive that a task reads, where that gives every core a task.
+READ_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
@@ -111,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     alone = F.octet_length("html") < min_bytes
     pages = pages.withColumn("same", F.sha2("html", 256))
-    top = pages.filter(~alone).groupBy("same").agg(F.max("page_id").alias("top"))
+    top = stage_table(pages.filter(~alone).groupBy("same").agg(F.max("page_id").alias("top")), "warc-responses", whole=True)  # read anew, so that the join can split a very common payload
     rows = pages.join(top, "same", "left").withColumn("first", F.when(alone, F.col("page_id")).otherwise(F.col("top"))).drop("same", "top")
     return stage_table(through_python(rows, lambda it: _write(it, folder), INDEX), "warc-index", whole=True)
 
@@ -147,15 +149,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records of the index rows given (any selection), checked against their digests."""
-    return through_python(index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"), _read, RECORD)
+    """The records of the index rows given (any selection), checked against their digests; tasks have a like number of rows."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    return through_python(index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset"), _read, RECORD)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(read(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     found = stage_table(read_archives(index).select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("bytes")), "warc-records", whole=True)
-    full = found.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("bytes").alias("full_bytes"))
-    return found.join(full, "refers_to", "left").select("page_id", F.coalesce("bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    full = found.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("bytes").alias("full_bytes"))
+    full = stage_table(full, "warc-sizes", whole=True)  # read anew, so that the join can split a response that many refer to
+    revisits = found.filter("record_type = 'revisit'").join(full, "refers_to", "left").withColumn("bytes", F.col("full_bytes"))
+    both = found.filter("record_type = 'response'").unionByName(revisits.drop("full_bytes"))
+    return both.select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
