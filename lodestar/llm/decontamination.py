@@ -7,8 +7,8 @@ that text with the benchmark's windows decides. Items of fewer than WINDOW words
 looked up at every position. The benchmark may have any size: its windows take part in a shuffle join, and of the
 documents only suspected windows, counts and ids move; no text of theirs is shuffled.
 
-Edge cases: null and empty texts have no words; items without words match nothing; equal items all count; rows that
-share a doc_id are joined by it as one document's counts added up; a null doc_id keeps its own row through a row id.
+Edge cases: null and empty texts have no words; items without words match nothing; equal items all count; every
+row of the documents is one of its own, whether its doc_id is null, repeated or neither.
 """
 
 from __future__ import annotations
@@ -166,13 +166,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         part = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
         bits[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     held = spark.sparkContext.broadcast(BitFilter(bits, 3))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()).alias("__row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("__row"))
     found = stage_table(through_python(rows, lambda it: _hits(it, held, widths, window, k), "__row long, doc_id long, win string, at long, width int, n_words long"), "doc-windows", whole=True)
-    items = tests.groupBy("win").agg(F.collect_set(F.col("item_id").cast("string")).alias("of"))
-    hits = found.filter("win is not null").join(items, "win")
-    both = found.filter("win is null").select("__row", "doc_id", "n_words", F.lit(None).cast("struct<at:bigint,width:int>").alias("hit"), F.lit(None).cast("array<string>").alias("of")).unionByName(
-        hits.select("__row", "doc_id", F.lit(0).cast("long").alias("n_words"), F.struct("at", "width").alias("hit"), "of"))
-    per = both.groupBy("doc_id", "__row").agg(F.sum("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
+    # both are read anew, so that the joins can split a window that very many documents hold
+    wins = stage_table(tests.select("win").distinct(), "test-texts")
+    items = stage_table(tests.select("win", F.col("item_id").cast("string").alias("item")).distinct(), "test-items")
+    hits = stage_table(found.filter("win is not null").join(wins, "win", "left_semi").select("__row", "win", "at", "width"), "doc-hits", whole=True)
+    of = hits.select("__row", "win").distinct().join(items, "win").groupBy("__row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = hits.groupBy("__row").agg(F.collect_list(F.struct("at", "width")).alias("hits"))
+    per = found.filter("win is null").select("__row", "doc_id", "n_words").join(spans.join(of, "__row", "left"), "__row", "left")
+    per = per.select("doc_id", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return through_python(per, _covered, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>")
 
 
