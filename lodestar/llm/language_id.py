@@ -4,7 +4,7 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 segmentations into pieces of the product of their probabilities, found by the forward algorithm; a text's is the product
 over its words. Probabilities come from expectation maximisation over the same segmentations (forward and backward).
 
-Words are runs of letters, lower-cased, with the vocabulary's word mark in front; runs over MAX_WORD letters are scored in
+Words are runs of letters (as Unicode has them: no digits or other numerals), lower-cased, with the vocabulary's word mark in front; runs over MAX_WORD letters are scored in
 stretches of MAX_WORD. A letter that is no piece counts as the unknown piece. All words of a text are scored; likelihoods
 of words are kept from document to document up to MEMORY words, which changes speed only.
 
@@ -52,6 +52,8 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 def words(text: str | None) -> list[str]:
     runs = _RUN.findall((text or "").lower())
+    if not all(map(str.isalpha, runs)):  # the pattern takes numerals such as fractions for letters
+        runs = [x for run in runs for x in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split(" ")) if x]
     if max(map(len, runs), default=0) <= MAX_WORD:
         return runs
     return [run[i : i + MAX_WORD] for run in runs for i in range(0, len(run), MAX_WORD)]
