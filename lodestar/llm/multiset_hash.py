@@ -4,13 +4,16 @@ A text is a multiset of paragraphs (cut after each line end and sentence end, an
 so that a text of few paragraphs has a likeness too). Each paragraph is hashed to a wide vector; a fingerprint is the sum of those vectors, each component modulo a power of two. Sums make it independent of
 order, and let a paragraph be added or taken away by adding or subtracting its own fingerprint (`combine`).
 
-Three kinds of components: the number of paragraphs (modulo 2**40); SUMS uniform ones (modulo 2**32), for equality; and
-LANES counts of one hash bit each (modulo 2**20, three to a long), whose centred values are a random projection of the
-multiset, so that the cosine of two texts' lanes estimates the cosine of the multisets (standard error about 0.09).
+Three kinds of components: the number of paragraphs (modulo 2**40); SUMS uniform ones (modulo 2**32, two of each of SUMS / 2
+hashes), for equality; and LANES counts of one hash bit each (modulo 2**20, three to a long), whose centred values are a
+random projection of the multiset, so that the cosine of two texts' lanes estimates the cosine of the multisets (standard
+error about 0.09). Every hash reads the paragraph itself with a seed of its own, so paragraphs that agree in one differ in
+the others: the vector is 256 bits of hash wide.
 
 Edge cases: null and empty texts have no paragraph, and a likeness of 1 to each other and 0 to others; equal texts have equal fingerprints; rows that share a
 doc_id each get a row, and stand as the next document by their smallest text; a null doc_id sorts before all others.
 Other columns are ignored; an empty table gives no rows.
+Every row's text is hashed once for itself and for the row before it; of rows that share an id, each is hashed for itself.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ _LANE = (1 << LANE_BITS) - 1
 _ALL = (1 << PER_LONG * LANE_BITS) - 1
 _ONE = sum(1 << LANE_BITS * i for i in range(PER_LONG))
 #: Ids for each range that the search for the next document takes as one group.
-RANGE_IDS = 50_000
+RANGE_IDS = 1_000_000
 
 
 def _long(n: int) -> Column:
@@ -44,16 +47,17 @@ def _sum(hashes: Column, part, modulus: int) -> Column:
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds `name`: array<long> of the count, SUMS uniform sums, then packed lanes."""
     pieces = F.flatten(F.transform(F.split(F.col(text), CUT), lambda p: F.regexp_extract_all(p, F.lit(PIECE), 1)))
-    df = df.withColumn("__h", F.transform(pieces, lambda p: F.xxhash64(p)))
-    h = F.col("__h")
-    out = [F.size(h).cast("long")]
-    out += [_sum(h, lambda x, k=k: F.xxhash64(x, F.lit(k)).bitwiseAND(_long((1 << 32) - 1)), 1 << 32) for k in range(SUMS)]
-    for k in range(HASHES):
-        seed = F.lit(-k)  # no default argument: a lambda's second parameter would be the place in the array
-        again = h if not k else F.transform(h, lambda x: F.xxhash64(x, seed))  # noqa: B023
-        df = df.withColumn(f"__h{k}", again)
-        out += [_sum(F.col(f"__h{k}"), lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(_long(_ONE)), _ALL + 1) for j in range(STEPS)]
-    return df.withColumn(name, F.array(*out)).drop("__h", *(f"__h{k}" for k in range(HASHES)))
+    df = df.withColumn("__pieces", pieces)
+    out = [F.size("__pieces").cast("long")]
+    sums, lanes = [], []
+    for k in range(SUMS // 2 + HASHES):
+        seed = F.lit(k)  # hashed first, so that the paragraph is hashed anew under each seed
+        df = df.withColumn(f"__h{k}", F.transform("__pieces", lambda p: F.xxhash64(seed, p)))  # noqa: B023
+        if k < SUMS // 2:
+            sums += [_sum(F.col(f"__h{k}"), lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(_long((1 << 32) - 1)), 1 << 32) for j in (0, 32)]
+        else:
+            lanes += [_sum(F.col(f"__h{k}"), lambda x, j=j: F.shiftrightunsigned(x, j).bitwiseAND(_long(_ONE)), _ALL + 1) for j in range(STEPS)]
+    return df.withColumn(name, F.array(*out, *sums, *lanes)).drop("__pieces", *(f"__h{k}" for k in range(SUMS // 2 + HASHES)))
 
 
 def _components(fp: Column) -> list[tuple[Column, int]]:
@@ -102,7 +106,7 @@ def next_ids(keys: DataFrame) -> DataFrame:
     n = max(1, -(-keys.count() // RANGE_IDS))
     placed = stage_table(keys.repartitionByRange(n, "key").select("key", F.spark_partition_id().alias("part")), "id-ranges")
     firsts = placed.groupBy("part").agg(F.min("key").alias("first"))
-    every = Window.orderBy("part")  # one row for each range of RANGE_IDS ids
+    every = Window.orderBy("part")  # over one row for each RANGE_IDS ids, not over the ids
     after = firsts.select("part", F.coalesce(F.lead("first").over(every), F.first("first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     step = F.lead("key").over(Window.partitionBy("part").orderBy("key"))
     return placed.withColumn("next", step).join(after, "part").select("key", F.coalesce("next", "after").alias("next"))
@@ -110,15 +114,22 @@ def next_ids(keys: DataFrame) -> DataFrame:
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text with the last half replaced from the next document, and likenesses."""
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), _long(-(1 << 63))).alias("key"), as_text().alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), _long(-(1 << 63))).alias("key"), as_text().alias("text"))
+    repeated = docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():  # number the rows apart, once and for all
+        docs = stage_table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-rows", whole=True)
+    else:
+        docs = docs.withColumn("row", F.col("key"))
+    prints = stage_table(with_fingerprint(docs, "text", "fp").select("row", "fp"), "document-prints", whole=True)
     half = F.floor(F.length("text") / 2).cast("int")
     steps = next_ids(docs.select("key"))
     need = docs.select("key", half.alias("half")).groupBy("key").agg(F.max("half").alias("half")).join(steps, "key").select(F.col("next").alias("key"), F.col("key").alias("of"), "half")
-    lent = with_fingerprint(docs.select("key", "text").join(need, "key"), "text", "fp").select(F.col("of").alias("key"), F.expr("substring(text, 1, half)").alias("lent"), F.col("fp").alias("next_fp"))
-    lent = lent.groupBy("key").agg(F.min(F.struct("lent", "next_fp")).alias("x"))
-    both = docs.select("key", "text").join(lent, "key").select("key", "text", "x.lent", "x.next_fp").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
-    both = both.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - half), substring(lent, 1, half))"))
-    both = with_fingerprint(with_fingerprint(both, "text", "fp"), "edited", "edited_fp")
+    lent = docs.join(need, "key").select(F.col("of").alias("key"), F.expr("substring(text, 1, half)").alias("lent"), F.col("row").alias("next_row"))
+    lent = lent.groupBy("key").agg(F.min(F.struct("lent", "next_row")).alias("x")).select("key", "x.lent", "x.next_row")
+    both = docs.join(lent, "key").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
+    both = with_fingerprint(both.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - half), substring(lent, 1, half))")), "edited", "edited_fp")
+    both = both.select("row", "next_row", "key", "n_chars", "edited", "edited_fp")
+    both = both.join(prints, "row").join(prints.select(F.col("row").alias("next_row"), F.col("fp").alias("next_fp")), "next_row")
     both = with_likeness(with_likeness(both, "fp", "edited_fp", "near_edited"), "fp", "next_fp", "near_next")
     return both.select(F.when(F.col("key") != _long(-(1 << 63)), F.col("key")).alias("doc_id"), "n_chars", "edited", "fp", "edited_fp", "near_edited", "near_next")
 
