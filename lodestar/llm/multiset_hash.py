@@ -13,7 +13,7 @@ the others: the vector is 256 bits of hash wide.
 Edge cases: null and empty texts have no paragraph, and a likeness of 1 to each other and 0 to others; equal texts have equal fingerprints; rows that share a
 doc_id each get a row, and stand as the next document by their smallest text; a null doc_id sorts before all others.
 Other columns are ignored; an empty table gives no rows.
-Every row's text is hashed once for itself and for the row before it; of rows that share an id, each is hashed for itself.
+A text is hashed twice, for itself and as the next one: keeping fingerprints to join them moves more than that saves.
 """
 
 from __future__ import annotations
@@ -115,21 +115,14 @@ def next_ids(keys: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text with the last half replaced from the next document, and likenesses."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), _long(-(1 << 63))).alias("key"), as_text().alias("text"))
-    repeated = docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeated.isEmpty():  # number the rows apart, once and for all
-        docs = stage_table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-rows", whole=True)
-    else:
-        docs = docs.withColumn("row", F.col("key"))
-    prints = stage_table(with_fingerprint(docs, "text", "fp").select("row", "fp"), "document-prints", whole=True)
     half = F.floor(F.length("text") / 2).cast("int")
     steps = next_ids(docs.select("key"))
     need = docs.select("key", half.alias("half")).groupBy("key").agg(F.max("half").alias("half")).join(steps, "key").select(F.col("next").alias("key"), F.col("key").alias("of"), "half")
-    lent = docs.join(need, "key").select(F.col("of").alias("key"), F.expr("substring(text, 1, half)").alias("lent"), F.col("row").alias("next_row"))
-    lent = lent.groupBy("key").agg(F.min(F.struct("lent", "next_row")).alias("x")).select("key", "x.lent", "x.next_row")
-    both = docs.join(lent, "key").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
-    both = with_fingerprint(both.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - half), substring(lent, 1, half))")), "edited", "edited_fp")
-    both = both.select("row", "next_row", "key", "n_chars", "edited", "edited_fp")
-    both = both.join(prints, "row").join(prints.select(F.col("row").alias("next_row"), F.col("fp").alias("next_fp")), "next_row")
+    lent = with_fingerprint(docs.join(need, "key"), "text", "fp").select(F.col("of").alias("key"), F.expr("substring(text, 1, half)").alias("lent"), F.col("fp").alias("next_fp"))
+    lent = lent.groupBy("key").agg(F.min(F.struct("lent", "next_fp")).alias("x"))
+    both = docs.join(lent, "key").select("key", "text", "x.lent", "x.next_fp").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
+    both = both.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - half), substring(lent, 1, half))"))
+    both = with_fingerprint(with_fingerprint(both, "text", "fp"), "edited", "edited_fp")
     both = with_likeness(with_likeness(both, "fp", "edited_fp", "near_edited"), "fp", "next_fp", "near_next")
     return both.select(F.when(F.col("key") != _long(-(1 << 63)), F.col("key")).alias("doc_id"), "n_chars", "edited", "fp", "edited_fp", "near_edited", "near_next")
 
