@@ -13,7 +13,6 @@ row of the documents is one of its own, whether its doc_id is null, repeated or
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import BitFilter, Rolling, blocks, mixed, power_of_two, read, stage_table, through_python
+from lodestar.llm.shared import Rolling, blocks, collected_filter, mixed, power_of_two, read, stage_table, through_python
 
 WINDOW, K = 10, 5
 #: Bits of the filter for each benchmark fingerprint, and at most (16 MB).
 BITS_PER_PRINT, MOST_BITS = 32, 1 << 27
-#: The filter travels in blocks of this many bytes.
-BLOCK = 1 << 15
 _ROLL = Rolling()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -91,25 +88,6 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(np.array(cols[2], np.uint64).view(np.int64)), pa.array(cols[3], pa.int32())], names=["item_id", "win", "print", "width"])
 
 
-def _bits(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(n_bits // 8, np.uint8)
-    for b in batches:
-        bits |= BitFilter.of(b.column("print").to_numpy().view(np.uint64), n_bits).bits
-    for at in range(0, len(bits), BLOCK):
-        if (part := bits[at : at + BLOCK]).any():
-            yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "bits"])
-
-
-def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    have: dict[int, np.ndarray] = {}
-    for b in batches:
-        for block, bits in zip(b.column("block").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(bits), np.uint8)
-            have[block] = have[block] | part if block in have else part
-    for block, part in have.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "bits"])
-
-
 def _hits(batches: Iterator[pa.RecordBatch], held, widths: list[int], window: int, k: int) -> Iterator[pa.RecordBatch]:
     test = held.value
     for part, off, data in blocks(batches):
@@ -160,12 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     tests = stage_table(through_python(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), lambda it: _item_windows(it, window, k), "item_id long, win string, print long, width int"), "test-windows")
     head = tests.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("w")).first()
     widths, n_bits = sorted(head["w"]), power_of_two(head["n"] * BITS_PER_PRINT, 1 << 12, MOST_BITS)
-    bits = np.zeros(n_bits // 8, np.uint8)
-    parts = through_python(tests.select("print"), lambda it: _bits(it, n_bits), "block int, bits binary").repartition("block")
-    for row in through_python(parts, _either, "block int, bits binary").collect():  # MOST_BITS in all
-        part = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-        bits[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    held = spark.sparkContext.broadcast(BitFilter(bits, 3))
+    held = spark.sparkContext.broadcast(collected_filter(tests.select(F.col("print").alias("h")), n_bits))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("__row"))
     found = stage_table(through_python(rows, lambda it: _hits(it, held, widths, window, k), "__row long, doc_id long, win string, at long, width int, n_words long"), "doc-windows", whole=True)
     # both are read anew, so that the joins can split a window that very many documents hold

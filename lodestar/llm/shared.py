@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,5 +197,38 @@ class BitFilter:
         return out
 
 
+#: A filter travels in blocks of this many bytes.
+FILTER_BLOCK = 1 << 15
+
+
+def _bits(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for b in batches:
+        bits |= BitFilter.of(b.column("h").to_numpy().view(np.uint64), n_bits).bits
+    for at in range(0, len(bits), FILTER_BLOCK):
+        if (part := bits[at : at + FILTER_BLOCK]).any():
+            yield pa.RecordBatch.from_arrays([pa.array([at // FILTER_BLOCK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    have: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, bits in zip(b.column("block").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(bits), np.uint8)
+            have[block] = have[block] | part if block in have else part
+    for block, part in have.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+
+def collected_filter(hashes: DataFrame, n_bits: int) -> BitFilter:
+    """The filter of the column h (long, no nulls), made on the executors and merged there block by block; the driver gets n_bits in all."""
+    bits = np.zeros(n_bits // 8, np.uint8)
+    parts = through_python(hashes.select("h"), lambda it: _bits(it, n_bits), "block int, bits binary").repartition("block")
+    for row in through_python(parts, _either, "block int, bits binary").collect():
+        part = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        bits[row["block"] * FILTER_BLOCK : row["block"] * FILTER_BLOCK + len(part)] = part
+    return BitFilter(bits, 3)
+
+
 def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))))

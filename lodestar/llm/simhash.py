@@ -14,7 +14,8 @@ A shingle is SHINGLE words in a row (all words of a shorter text); words are spl
 `similar_documents` finds all documents whose five-word shingles agree to SIMILARITY or more. Deletion variants of a
 fingerprint of those shingles propose the first pairs. What they don't reach is found by an exact prefix join: of two
 such texts with their shingles in one order, rarest first, the first n - ceil(SIMILARITY * n) + 1 have one in common.
-Each shared shingle first joins its members to its smallest one; then all pairs that share one and are in different
+The members of a shingle that many share are first dealt into small groups and compared with the group's smallest one,
+so that a large group of near copies hangs together early; then all pairs that share a shingle and are in different
 components are compared, wherever sizes and places allow the similarity. Whole texts decide on every pair.
 
 Edge cases: null and empty texts have the fingerprint zero, linked like any other; repeated rows and ties fall into one
@@ -34,12 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
-from lodestar.llm.shared import mixed, read, spread, stage_table, through_python
+from lodestar.llm.shared import collected_filter, mixed, power_of_two, read, spread, stage_table, through_python
 
 SHINGLE, DISTANCE, BUCKET = 3, 2, 64
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: The share of documents that tells which shingles are common, and the most shingles that are told apart from rare ones.
 ORDER_SHARE, ORDER_SHINGLES = 0.125, 1 << 18
+#: Members of a shingle's small group in expectation, and how many times they are dealt.
+GROUP, DEALS = 4, 3
+#: Most bits of the filter that tells which texts are needed (1 MB); beyond it more texts move than are needed.
+MOST_BITS = 1 << 23
 BITS, SEED = 64, 42
 #: Fingerprints whose variants one task makes.
 SPREAD_ROWS = 10_000
@@ -192,23 +197,33 @@ def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int = SIMILAR_SH
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = [shingle_similarity(_words(x.as_py()), _words(y.as_py())) >= similarity for x, y in zip(b.column("text_a"), b.column("text_b"), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_a").filter(pa.array(keep)), b.column("doc_b").filter(pa.array(keep))], names=["a", "b"])
 
 
-def _compared(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _needed(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        b = b.filter(b.column("doc_id").is_valid())
+        yield b.filter(pa.array(held.value.has(b.column("doc_id").to_numpy().view(np.uint64))))
+
+
+def _compared(docs: DataFrame, lists: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose whole texts are similar.
 
-    Up to the end of the prefix that ends first the shared shingles are known; from there the texts have no more in common
-    than the one with fewer shingles left has. Only pairs that may still be similar load their texts.
+    lists: node, size, all (its prefix shingles that others have too). Up to the end of the prefix that ends first the shared
+    shingles are known; from there the texts have no more in common than the one with fewer shingles left has. Only pairs
+    that may still be similar load their texts.
     """
-    near = stage_table(pairs, "similar-pairs")
+    spark = docs.sparkSession
+    near = stage_table(pairs, "similar-pairs").select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
     for end in ("a", "b"):
-        near = near.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("prefix").alias(f"prefix_{end}")), end)
-    both = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest(F.col("size_a") - F.size("prefix_a"), F.col("size_b") - F.size("prefix_b"))
-    near = stage_table(near.filter(both >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b"), "similar-open-pairs")
-    used = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stage_table(docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts", whole=True)
-    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        near = near.join(lists.select(F.col("node").alias(f"node_{end}"), F.col("size").alias(f"size_{end}"), F.col("all").alias(f"all_{end}")), f"node_{end}")
+    left = [F.ceil(similarity * F.col(f"size_{end}") - 1e-9) - 1 for end in ("a", "b")]  # shingles behind the prefix
+    both = F.size(F.array_intersect("all_a", "all_b")) + F.greatest(*left)
+    near = stage_table(near.filter(both >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6).select(F.col("node_a").alias("doc_a"), F.col("node_b").alias("doc_b")), "similar-open-pairs")
+    used = stage_table(near.select(F.col("doc_a").alias("doc_id")).unionByName(near.select(F.col("doc_b").alias("doc_id"))).distinct(), "similar-used")
+    held = spark.sparkContext.broadcast(collected_filter(used.select(F.col("doc_id").alias("h")), power_of_two(16 * used.count(), 1 << 12, MOST_BITS)))
+    texts = stage_table(through_python(docs.select("doc_id", "text"), lambda it: _needed(it, held), "doc_id long, text string").join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts", whole=True)
+    both = near.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     return stage_table(through_python(both, lambda it: _similar(it, similarity), "a long, b long"), "similar-links")
 
 
@@ -230,9 +245,13 @@ def _fit(similarity: float):
 
 
 def _first_pairs(held: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of each member of a hash and the hash's smallest member."""
-    ends = stage_table(held.groupBy("h").agg(F.min(F.struct("node", "size", "at")).alias("lo")).select("h", "lo.*"), "similar-ends", whole=True)
-    met = held.alias("x").join(ends.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") > F.col("y.node")) & _fit(similarity))
+    """Pairs a, b of members of a hash that more than GROUP have, and the smallest member of the small group that each is dealt to."""
+    deal = F.explode(F.sequence(F.lit(1), F.lit(DEALS)))
+    many = held.filter(F.col("members") > GROUP).withColumn("deal", deal)
+    many = many.select("node", "size", F.struct("h", "deal", F.pmod(F.xxhash64("deal", "node", "h"), F.ceil(F.col("members") / GROUP))).alias("group"))
+    first = stage_table(many.groupBy("group").agg(F.min(F.struct("node", "size")).alias("lo")).select("group", "lo.*"), "similar-firsts")
+    sizes = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6  # the shingle need not be the first that two share
+    met = many.alias("x").join(first.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.node") > F.col("y.node")) & sizes)
     return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
@@ -259,10 +278,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     rows = some.select("node", "size", F.posexplode("prefix").alias("at", "h"))
     shared = stage_table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "similar-shared", whole=True)
     held = stage_table(rows.join(shared, "h"), "similar-held", whole=True)
-    # most of a large group hangs together by its signatures and the smallest members of its shingles; what is connected by then need not meet
-    found = _compared(docs, some, _signature_pairs(some.select("node", "fp")).unionByName(_first_pairs(held, similarity)).distinct(), similarity)
+    lists = stage_table(held.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("h").alias("all")), "similar-lists", whole=True)
+    # most of a large group hangs together by its signatures and the small groups of its shingles; what is connected by then need not meet
+    found = _compared(docs, lists, _signature_pairs(some.select("node", "fp")).unionByName(_first_pairs(held, similarity)).distinct(), similarity)
     roots = stage_table(components(found), "similar-roots")
-    found = _compared(docs, some, _across(held, roots, similarity), similarity)
+    found = _compared(docs, lists, _across(held, roots, similarity), similarity)
     for end in ("a", "b"):  # links between the components found so far
         found = found.join(roots.select(F.col("node").alias(end), "root"), end, "left").select(F.coalesce("root", end).alias(end), "b" if end == "a" else "a")
     tops = components(found.distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
