@@ -9,13 +9,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.engine import Engine
 from lodestar.functions.expressions import as_number
 from lodestar.operators import relational as ops
-from lodestar.streaming.replica import Replica
+from lodestar.plans.errors import EngineError
+from lodestar.streaming.replica import Replica, Router
 
 Query = Callable[[SparkSession, str], DataFrame]
 _DAY = "TIMESTAMP '1998-09-02 00:00:00'"
@@ -323,6 +325,98 @@ def replica_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine.open(spark, db.root + "-replica").sql("SELECT id, nation, balance FROM c")
 
 
+def replica_after_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica that comes late: tables dropped, rows vacuumed away and old files cleaned on the leader before it first looks."""
+    db = _customers(spark, sf_dir, automatic=False)
+    db.sql("CREATE TABLE gone (x INT); INSERT INTO gone VALUES (1), (2); DROP TABLE gone; DELETE FROM c WHERE nation < 5; VACUUM c")
+    db.store.clean("c")
+    replica = Replica(spark, db.root, db.root + "-late")
+    replica.catch_up()
+    db.sql("DELETE FROM c WHERE nation = 7; VACUUM c")
+    db.store.clean("c")
+    replica.catch_up()
+    return Engine.open(spark, db.root + "-late").sql("SELECT id, nation FROM c")
+
+
+def replica_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica that begins after the log was shortened."""
+    db = _customers(spark, sf_dir)
+    db.store.truncate_log()
+    db.sql("INSERT INTO c (id, name, nation) VALUES (-5, 'x', 1)")
+    Replica(spark, db.root, db.root + "-snapshot").catch_up()
+    return Engine.open(spark, db.root + "-snapshot").sql("SELECT id, nation FROM c")
+
+
+def read_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads go to the replicas in turn, so the second does not see what the first has; writes go to the leader."""
+    db = _customers(spark, sf_dir)
+    copies = []
+    for name in ("a", "b"):
+        Replica(spark, db.root, f"{db.root}-{name}").catch_up()
+        copies.append(Engine.open(spark, f"{db.root}-{name}"))
+        Router(db, []).sql("INSERT INTO c (id, name) VALUES (-1, 'x')" if name == "a" else "INSERT INTO c (id, name) VALUES (-2, 'x')")
+    route = Router(db, copies)
+    found = [route.sql("SELECT count(*) AS n FROM c").withColumn("turn", F.lit(i)) for i in range(3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opened anew from the log, with files beside it that no commit names."""
+    db = _customers(spark, sf_dir, automatic=False)
+    db.sql("DELETE FROM c WHERE nation > 20")
+    _table(spark, sf_dir, "nation").write.parquet(db.store.files.uri("c/data-ffff"))
+    return Engine.open(spark, db.root).sql("SELECT id, nation FROM c")
+
+
+def auto_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond a fifth of dead rows a statement leaves none behind."""
+    db = _customers(spark, sf_dir)
+    db.sql("DELETE FROM c WHERE nation < 10")
+    state = db.store.state("c")
+    return db.sql(f"SELECT {state.dead} AS dead, {len(state.deletions)} AS deletions, count(*) AS n FROM c")
+
+
+def merge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small commits end up in few files."""
+    db = _store(spark)
+    db.sql("CREATE TABLE t (id INT)")
+    for i in range(34):
+        db.sql(f"INSERT INTO t VALUES ({i})")
+    few = int(len(db.store.state("t").files) < 8)
+    return db.sql(f"SELECT {few} AS few, count(*) AS n, sum(id) AS ids FROM t")
+
+
+def show_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SHOW TABLES, COLUMNS and CONSTRAINTS say, as one table."""
+    db = _store(spark)
+    db.sql("CREATE TABLE a (id INT PRIMARY KEY, v VARCHAR(20) NOT NULL DEFAULT 'x', UNIQUE (v, id)); CREATE TABLE b (x DOUBLE); CREATE INDEX i ON b (x); DROP INDEX i ON b; CREATE TABLE z (x INT); DROP TABLE z; DROP TABLE IF EXISTS z")
+    out = db.sql("SHOW TABLES").select(F.lit("table").alias("what"), F.col("table_name").alias("name"), F.lit("").alias("more"))
+    out = out.unionByName(db.sql("SHOW COLUMNS FROM a").select(F.lit("column").alias("what"), F.col("column_name").alias("name"), F.concat_ws(" ", "type", "nullable", "default").alias("more")))
+    out = out.unionByName(db.sql("SHOW CONSTRAINTS FROM a").select(F.lit("constraint").alias("what"), F.col("kind").alias("name"), F.col("columns").alias("more")))
+    return out.unionByName(db.sql("SHOW INDEXES FROM b").select(F.lit("index").alias("what"), F.col("index_name").alias("name"), F.col("columns").alias("more")))
+
+
+def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that must fail, by their number, with the kind of error; and what they left of the table."""
+    db = _store(spark)
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, v VARCHAR(3) NOT NULL); INSERT INTO t VALUES (1, 'a')")
+    texts = ["INSERT INTO t VALUES (1, 'b')", "INSERT INTO t VALUES (2, 'b'), (2, 'c')", "INSERT INTO t VALUES (3, NULL)", "INSERT INTO t VALUES (4, 'long')", "UPDATE t SET v = 'toolong'", "SELECT v FROM t GROUP BY id", "SELECT nope FROM t", "SELECT sum(count(*)) FROM t", "SELEC 1", "DROP TABLE nope", "CREATE TABLE t (x INT)"]
+    rows = []
+    for i, text in enumerate(texts):
+        try:
+            db.sql(text)
+            rows.append((i, "none"))
+        except EngineError as e:
+            rows.append((i, type(e).__name__))
+    for i, text in enumerate(["SELECT id / 0 AS x FROM t", "SELECT 2147483647 + id AS x FROM t"], len(texts)):
+        try:
+            db.sql(text).collect()
+            rows.append((i, "none"))
+        except PySparkException as e:
+            rows.append((i, (e.getCondition() or "").split(".")[0]))
+    return spark.createDataFrame(rows, "statement int, error string").crossJoin(db.sql("SELECT count(*) AS n, max(v) AS v FROM t"))
+
+
 _ORDER_SQL = "SELECT n_nationkey, row_number() OVER (ORDER BY v {o}, n_nationkey) AS place FROM " + _NULLS.format(k="n_nationkey", v="n_name", n="v", t="nation")
 _ORDERS_K = _NULLS.format(k="o_orderkey", v="o_custkey", n="k", t="orders")
 
@@ -369,6 +463,18 @@ OPERATORS: dict[str, tuple[Query, str]] = {
 }
 
 
+OPERATORS |= {
+    "replica_after_drop": (replica_after_drop, "SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_nationkey >= 5 AND c_nationkey <> 7"),
+    "replica_snapshot": (replica_snapshot, "SELECT c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT -5, 1"),
+    "read_router": (read_router, "SELECT count(*) + d AS n, turn::INTEGER AS turn FROM customer, (VALUES (0, 0), (1, 1), (0, 2)) t(d, turn) GROUP BY d, turn"),
+    "recovery": (recovery, "SELECT c_custkey AS id, c_nationkey AS nation FROM customer WHERE c_nationkey <= 20"),
+    "auto_vacuum": (auto_vacuum, "SELECT 0 AS dead, 0 AS deletions, count(*) AS n FROM customer WHERE c_nationkey >= 10"),
+    "merge_files": (merge_files, "SELECT 1 AS few, 34::BIGINT AS n, 561::BIGINT AS ids"),
+    "show_all": (show_all, "SELECT * FROM (VALUES ('table', 'a', ''), ('table', 'b', ''), ('column', 'id', 'INT false'), ('column', 'v', 'VARCHAR(20) false x'), ('constraint', 'PRIMARY KEY', 'id'), ('constraint', 'UNIQUE', 'v, id')) t(what, name, more)"),
+    "rejected": (rejected, "SELECT i::INTEGER AS statement, e AS error, 1::BIGINT AS n, 'a' AS v FROM (VALUES (0, 'ConstraintError'), (1, 'ConstraintError'), (2, 'ConstraintError'), (3, 'ConstraintError'), (4, 'ConstraintError'), (5, 'BindError'), (6, 'BindError'), (7, 'BindError'), (8, 'ParseError'), (9, 'BindError'), (10, 'BindError'), (11, 'DIVIDE_BY_ZERO'), (12, 'ARITHMETIC_OVERFLOW')) t(i, e)"),
+}
+
+
 def queries() -> dict[str, Query]:
     return {**{name: _sql(tables, text) for name, (tables, text, _) in SQL.items()}, **{name: query for name, (query, _) in OPERATORS.items()}}
 

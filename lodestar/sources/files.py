@@ -73,5 +73,8 @@ class Files:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
     def copy(self, name: str, to: Files) -> None:
         self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(name), to._fs, to._path(name), False, self._conf)

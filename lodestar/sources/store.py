@@ -6,7 +6,11 @@ files) and what the commit added. A file that no commit names does not exist for
 data and committing leaves the table as it was. `_checkpoint/<version>.json` holds all tables' states, so that the log
 before it can go once no replica needs it.
 
-Data files are never changed. A deletion file lists (file, row) of dead rows; a read takes them out by an anti-join.
+Data files are never changed. A deletion file lists (file, row) of dead rows; a read takes them out of the data files that
+have any by an anti-join, and leaves the other files' plan as it is. New rows are written before they are checked, so their
+source is evaluated once; what fails its checks is deleted and never named.
+
+`_replicas/<name>/<version>` says how far each replica has come: files and log entries that one still needs stay.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,10 +62,11 @@ class IndexInfo:
 
 @dataclass(frozen=True)
 class FileInfo:
-    """Data files or deletion files: name below the root, partition and the rows of the commit that made it."""
+    """A data file or a folder of deletion files: name below the root, partition; of a deletion the data files that it has rows of."""
 
     name: str
     partition: str | None = None
+    of: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -130,8 +136,8 @@ def load(d: dict | None) -> State | None:
         tuple(IndexInfo(i["name"], tuple(i["columns"]), i["unique"]) for i in d["indexes"]),
         d["partition_by"],
         tuple((n, _value(b), x) for n, b, x in d["partitions"]),
-        tuple(FileInfo(**f) for f in d["files"]),
-        tuple(FileInfo(**f) for f in d["deletions"]),
+        tuple(FileInfo(f["name"], f["partition"]) for f in d["files"]),
+        tuple(FileInfo(**{**f, "of": tuple(f.get("of", ()))}) for f in d["deletions"]),
         d["rows"],
         d["dead"],
         d["epoch"],
@@ -191,9 +197,32 @@ class Store:
     def checkpoint(self) -> None:
         self.files.create(f"_checkpoint/{self.version:020d}.json", json.dumps({k: dump(v) for k, v in self.tables.items()}))
 
+    def register(self, replica: str, version: int) -> None:
+        """Notes that a replica has applied everything up to a version."""
+        before = self.files.names(f"_replicas/{replica}")
+        self.files.create(f"_replicas/{replica}/{version:020d}", "")
+        for name in before:
+            if int(name) < version:
+                self.files.delete(f"_replicas/{replica}/{name}")
+
+    def unregister(self, replica: str) -> None:
+        self.files.delete(f"_replicas/{replica}")
+
+    def needed_from(self) -> int | None:
+        """The first version that a registered replica has still to apply; none if none is registered."""
+        have = [max(map(int, names)) for r in self.files.names("_replicas") if (names := self.files.names(f"_replicas/{r}"))]
+        return min(have) + 1 if have else None
+
+    def _waiting(self) -> set[str]:
+        """Files that a replica has still to copy."""
+        first = self.needed_from()
+        return {name for v in self.versions() if first is not None and v >= first for name in self.change(v)["added"]}
+
     def truncate_log(self, needed_from: int | None = None) -> None:
         """Drops log files that the last checkpoint covers, but keeps those from the version that a replica still needs."""
         self.checkpoint()
+        if needed_from is None:
+            needed_from = self.needed_from()
         for version in self.versions():
             if version <= self.version and (needed_from is None or version < needed_from):
                 self.files.delete(self._log(version))
@@ -219,11 +248,30 @@ class Store:
         df = self.spark.read.schema(state.schema).parquet(*(self.files.uri(n) for n in names))
         if not state.deletions and not positions:
             return df
-        df = df.select(*columns, F.regexp_extract("_metadata.file_path", r"(data-[0-9a-f]+/.+)$", 1).alias(FILE), F.col("_metadata.row_index").alias(ROW))
-        if state.deletions:
+        touched = self._touched(state)
+        clean = [n for n in names if n not in touched]
+        parts = []
+        if clean:
+            parts.append(self._located(state, clean) if positions else self.spark.read.schema(state.schema).parquet(*(self.files.uri(n) for n in clean)))
+        if len(clean) < len(names):
             dead = self.spark.read.schema(f"{FILE} string, {ROW} long").parquet(*(self.files.uri(f.name) for f in state.deletions))
-            df = df.join(dead, [FILE, ROW], "left_anti")
-        return df if positions else df.select(*columns)
+            live = self._located(state, [n for n in names if n in touched]).join(dead, [FILE, ROW], "left_anti")
+            parts.append(live if positions else live.select(*columns))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _located(self, state: State, names: list[str]) -> DataFrame:
+        """The rows of data files with file and row."""
+        df = self.spark.read.schema(state.schema).parquet(*(self.files.uri(n) for n in names))
+        return df.select(*(c.name for c in state.columns), F.regexp_extract("_metadata.file_path", r"(data-[0-9a-f]+/.+)$", 1).alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+    def _touched(self, state: State) -> set[str]:
+        """The data files with dead rows; all of them, if a deletion doesn't say of which or names one that isn't here."""
+        every = {f.name: f.name.partition("/")[2] for f in state.files}
+        known = set(every.values())
+        found = {unquote(x) for d in state.deletions for x in d.of}
+        if found <= known and all(d.of for d in state.deletions):
+            return {name for name, x in every.items() if x in found}
+        return set(every) if state.deletions else set()
 
     # writing
 
@@ -253,11 +301,27 @@ class Store:
         """Writes the (file, row) pairs as a deletion file."""
         folder = f"{state.name}/dead-{uuid.uuid4().hex}"
         where.select(FILE, ROW).write.parquet(self.files.uri(folder))
-        return FileInfo(folder)
+        # as many names as the table has data files at most
+        of = self.spark.read.schema(f"{FILE} string").parquet(self.files.uri(folder)).distinct().collect()
+        return FileInfo(folder, None, tuple(sorted(r[0] for r in of)))
+
+    def _checked(self, state: State, df: DataFrame, replaced: DataFrame | None = None) -> tuple[FileInfo, ...]:
+        """New rows with defaults filled in as files, after all checks; the checks read the files. replaced: rows that go at the same time."""
+        files = self._write(state, self._filled(state, df))
+        if not files:
+            return files
+        try:
+            self._check(state, self.spark.read.schema(state.schema).parquet(*(self.files.uri(f.name) for f in files)), replaced)
+        except Exception:
+            self.files.delete("/".join(files[0].name.split("/")[:2]))
+            raise
+        return files
+
+    @staticmethod
+    def _filled(state: State, df: DataFrame) -> DataFrame:
+        return df.select(*(F.coalesce(F.col(c.name), literal(c.default)).cast(types.SPARK[c.type]).alias(c.name) if c.default is not None else F.col(c.name).cast(types.SPARK[c.type]).alias(c.name) for c in state.columns))
 
-    def checked(self, state: State, df: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
-        """New rows with defaults filled in, written out to be read more than once, after all checks. replaced: rows that go at the same time."""
-        df = df.select(*(F.coalesce(F.col(c.name), literal(c.default)).cast(types.SPARK[c.type]).alias(c.name) if c.default is not None else F.col(c.name).cast(types.SPARK[c.type]).alias(c.name) for c in state.columns))
+    def _check(self, state: State, df: DataFrame, replaced: DataFrame | None) -> None:
         tests = {}
         for c in state.columns:
             if c.not_null:
@@ -271,7 +335,6 @@ class Store:
                     raise ConstraintError(message)
         for name, key in state.keys():
             self._unique(state, name, key, df, replaced)
-        return df
 
     def _unique(self, state: State, name: str, key: tuple[str, ...], df: DataFrame, replaced: DataFrame | None) -> None:
         """A key with a null in it is exempt."""
@@ -293,8 +356,10 @@ class Store:
 
     def drop(self, table: str) -> None:
         self.state(table)
+        waiting = {n.split("/")[0] for n in self._waiting()}
         self.commit(table, "drop", None)
-        self.files.delete(table)
+        if table not in waiting:
+            self.files.delete(table)
 
     def alter(self, state: State, op: str) -> None:
         self.commit(state.name, op, state)
@@ -305,7 +370,7 @@ class Store:
         for name in df.columns:
             state.column(name)
         df = df.select(*(F.col(c.name) if c.name in df.columns else F.lit(None).cast(types.SPARK[c.type]).alias(c.name) for c in state.columns))
-        files = self._write(state, self.checked(state, df))
+        files = self._checked(state, df)
         n = self._rows(state, files)
         self.commit(table, "insert", replace(state, files=state.files + files, rows=state.rows + n), n)
         self.upkeep(table)
@@ -337,7 +402,7 @@ class Store:
         if not n:
             return 0
         new = old.join(pairs, [FILE, ROW], "left_semi").select(*(sets[c.name].cast(types.SPARK[c.type]).alias(c.name) if c.name in sets else F.col(c.name) for c in state.columns))
-        files = self._write(state, self.checked(state, new, pairs))
+        files = self._checked(state, new, pairs)
         self.commit(table, "update", replace(state, files=state.files + files, deletions=(*state.deletions, dead), rows=state.rows + n, dead=state.dead + n), n)
         self.upkeep(table)
         return n
@@ -357,8 +422,10 @@ class Store:
             self.rewrite(table, "merge")
 
     def clean(self, table: str) -> int:
-        """Deletes files of a table that its state does not name (those of older versions and of failed writes)."""
-        named = [f.name for f in (*self.state(table).files, *self.state(table).deletions)]
+        """Deletes files of a table (a dropped one too) that its state does not name (those of older versions and of failed writes) and no replica waits for."""
+        state = self.tables.get(table)
+        named = [f.name for f in (*state.files, *state.deletions)] if state else []
+        named += [n for n in self._waiting() if n.startswith(f"{table}/")]
         used = {n.split("/")[1] for n in named}
         gone = [x for x in self.files.names(table) if x not in used]
         for x in gone:
