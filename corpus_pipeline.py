@@ -6,6 +6,11 @@ writes each stage's result to the folder that the executors share and reads it a
 
 SQL can express neither the language model nor packing, so ORACLE_SQL is None and the tests hold every stage against a
 plain one.
+
+Null and empty texts have no letter, so the first stage drops them; later stages take a null text for an empty one. Rows
+with null or repeated doc_id are rows like any others: line dedup counts rows that share a doc_id as one document and lets
+those without one alone; near-dedup and decontamination decide by a written row number. Ties go to the smallest doc_id, then
+the first row. Empty tables give no rows, columns that are not in COLUMNS are dropped.
 """
 
 from __future__ import annotations
@@ -58,6 +63,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every row into sequences, a null text as an empty one; rows that share a doc_id each have their own pieces."""
     return packing.digest(packing.pack(docs))
 
 
