@@ -197,7 +197,7 @@ def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int = SIMILAR_SH
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = [shingle_similarity(_words(x.as_py()), _words(y.as_py())) >= similarity for x, y in zip(b.column("text_a"), b.column("text_b"), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_a").filter(pa.array(keep)), b.column("doc_b").filter(pa.array(keep))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
 
 def _needed(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
@@ -214,16 +214,16 @@ def _compared(docs: DataFrame, lists: DataFrame, pairs: DataFrame, similarity: f
     that may still be similar load their texts.
     """
     spark = docs.sparkSession
-    near = stage_table(pairs, "similar-pairs").select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+    near = stage_table(pairs, "similar-pairs")
     for end in ("a", "b"):
-        near = near.join(lists.select(F.col("node").alias(f"node_{end}"), F.col("size").alias(f"size_{end}"), F.col("all").alias(f"all_{end}")), f"node_{end}")
+        near = near.join(lists.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("all").alias(f"all_{end}")), end)
     left = [F.ceil(similarity * F.col(f"size_{end}") - 1e-9) - 1 for end in ("a", "b")]  # shingles behind the prefix
     both = F.size(F.array_intersect("all_a", "all_b")) + F.greatest(*left)
-    near = stage_table(near.filter(both >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6).select(F.col("node_a").alias("doc_a"), F.col("node_b").alias("doc_b")), "similar-open-pairs")
-    used = stage_table(near.select(F.col("doc_a").alias("doc_id")).unionByName(near.select(F.col("doc_b").alias("doc_id"))).distinct(), "similar-used")
+    near = stage_table(near.filter(both >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b"), "similar-open-pairs")
+    used = stage_table(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), "similar-used")
     held = spark.sparkContext.broadcast(collected_filter(used.select(F.col("doc_id").alias("h")), power_of_two(16 * used.count(), 1 << 12, MOST_BITS)))
     texts = stage_table(through_python(docs.select("doc_id", "text"), lambda it: _needed(it, held), "doc_id long, text string").join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "similar-texts", whole=True)
-    both = near.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    both = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return stage_table(through_python(both, lambda it: _similar(it, similarity), "a long, b long"), "similar-links")
 
 
