@@ -16,7 +16,12 @@ fingerprint of those shingles propose the first pairs. What they don't reach is
 such texts with their shingles in one order, rarest first, the first n - ceil(SIMILARITY * n) + 1 have one in common.
 The members of a shingle that many share are first dealt into small groups and compared with the group's smallest one,
 so that a large group of near copies hangs together early; then all pairs that share a shingle and are in different
-components are compared, wherever sizes and places allow the similarity. Whole texts decide on every pair.
+components are compared, wherever sizes, places and parities allow the similarity. Whole texts decide on every pair.
+
+The parities of a text are PARITY_BITS bits, each flipped by every shingle that falls on it. A shingle that only one of
+two texts has flips one bit, one that both have flips the same bit in both, so texts differ by at least as many shingles
+as their parities differ by bits. That bound is exact, whatever the size; beyond PARITY_BITS shingles it rules out less.
+Folding them, by exclusive or of their parts, gives the parities of fewer bits.
 
 Edge cases: null and empty texts have the fingerprint zero, linked like any other; repeated rows and ties fall into one
 component, named by its smallest doc_id; rows with a null doc_id keep their fingerprint and may have a component of
@@ -43,6 +48,8 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 ORDER_SHARE, ORDER_SHINGLES = 0.125, 1 << 18
 #: Members of a shingle's small group in expectation, and how many times they are dealt.
 GROUP, DEALS = 4, 3
+#: Bits of a text's parities; shingles carry them folded to fewer.
+PARITY_BITS, FOLDED_BITS = 1024, 256
 #: Most bits of the filter that tells which texts are needed (1 MB); beyond it more texts move than are needed.
 MOST_BITS = 1 << 23
 BITS, SEED = 64, 42
@@ -158,6 +165,12 @@ def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity
     return hashes[np.argsort(rank, kind="stable")][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as signed longs: whether an odd number of the hashes falls on each."""
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text in b.column("text"):
@@ -175,7 +188,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, ranks: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        same, sizes, prints, first = [], [], [], []
+        same, sizes, prints, first, odd = [], [], [], [], []
         for text in b.column("text"):
             words = _words(text.as_py())
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
@@ -183,8 +196,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, ranks: np.n
             hashes = shingle_hashes(words)
             sizes.append(len(hashes))
             prints.append(_signed(majority(hashes)))
+            odd.append(parities(hashes))
             first.append(prefix(hashes, common, ranks, similarity).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "fp", "prefix"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "fp", "prefix", "odd"])
 
 
 def shingle_similarity(a: list[bytes], b: list[bytes], shingle: int = SIMILAR_SHINGLE) -> float:
@@ -206,19 +220,26 @@ def _needed(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]
         yield b.filter(pa.array(held.value.has(b.column("doc_id").to_numpy().view(np.uint64))))
 
 
+def _even(size_a: str, odd_a: str, size_b: str, odd_b: str, n_bits: int, similarity: float):
+    """Whether parities allow the similarity: shingles that only one has are at most (1 - s) / (1 + s) of the sizes' sum."""
+    bits = reduce(lambda n, i: n + F.bit_count(F.col(odd_a)[i].bitwiseXOR(F.col(odd_b)[i])), range(n_bits // 64), F.lit(0))
+    return bits <= (1 - similarity) / (1 + similarity) * (F.col(size_a) + F.col(size_b)) + 1e-6
+
+
 def _compared(docs: DataFrame, lists: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b whose whole texts are similar.
 
-    lists: node, size, all (its prefix shingles that others have too). Up to the end of the prefix that ends first the shared
-    shingles are known; from there the texts have no more in common than the one with fewer shingles left has. Only pairs
-    that may still be similar load their texts.
+    lists: node, size, odd (parities), all (its prefix shingles that others have too). Up to the end of the prefix that ends
+    first the shared shingles are known; from there the texts have no more in common than the one with fewer shingles left
+    has. Only pairs that this and their parities allow load their texts.
     """
     spark = docs.sparkSession
     near = stage_table(pairs, "similar-pairs")
     for end in ("a", "b"):
-        near = near.join(lists.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("all").alias(f"all_{end}")), end)
+        near = near.join(lists.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("odd").alias(f"odd_{end}"), F.col("all").alias(f"all_{end}")), end)
     left = [F.ceil(similarity * F.col(f"size_{end}") - 1e-9) - 1 for end in ("a", "b")]  # shingles behind the prefix
     both = F.size(F.array_intersect("all_a", "all_b")) + F.greatest(*left)
+    near = near.filter(_even("size_a", "odd_a", "size_b", "odd_b", PARITY_BITS, similarity))
     near = stage_table(near.filter(both >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b"), "similar-open-pairs")
     used = stage_table(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), "similar-used")
     held = spark.sparkContext.broadcast(collected_filter(used.select(F.col("doc_id").alias("h")), power_of_two(16 * used.count(), 1 << 12, MOST_BITS)))
@@ -255,16 +276,18 @@ def _first_pairs(held: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
-def _across(held: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _across(held: DataFrame, lists: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """All pairs a, b that share a hash and are not connected yet: one of the two is outside the hash's largest component."""
     now = stage_table(held.join(roots, "node", "left").select("h", "node", "size", "at", F.coalesce("root", "node").alias("component")), "similar-members", whole=True)
     sizes = now.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
     most = stage_table(sizes.groupBy("h").agg(F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("n", "component")).alias("most")).filter("components > 1").select("h", "most"), "similar-most")
-    open_ = stage_table(now.join(most, "h"), "similar-open", whole=True)
+    n = FOLDED_BITS // 64
+    folded = F.array(*(reduce(lambda x, y: x.bitwiseXOR(y), (F.col("odd")[k] for k in range(i, PARITY_BITS // 64, n))) for i in range(n)))
+    open_ = stage_table(now.join(most, "h").join(lists.select("node", folded.alias("odd")), "node"), "similar-open", whole=True)
     left, right = open_.filter("component <> most").alias("x"), open_.alias("y")
     # two outside the largest component meet once, from the smaller node
     once = (F.col("y.component") == F.col("y.most")) | (F.col("x.node") < F.col("y.node"))
-    met = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & once & _fit(similarity))
+    met = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & once & _fit(similarity) & _even("x.size", "x.odd", "y.size", "y.odd", FOLDED_BITS, similarity))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -272,17 +295,17 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     """doc_id, component_id: equal texts (but for white space and A-Z), and chains of documents with that similarity of shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common, ranks = _common(docs)
-    prints = stage_table(through_python(docs, lambda it: _prefixes(it, common, ranks, similarity), "doc_id long, same binary, size int, fp long, prefix array<long>"), "similar-prints", whole=True)
-    nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "similar-nodes", whole=True)
+    prints = stage_table(through_python(docs, lambda it: _prefixes(it, common, ranks, similarity), "doc_id long, same binary, size int, fp long, prefix array<long>, odd array<long>"), "similar-prints", whole=True)
+    nodes = stage_table(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd")), "similar-nodes", whole=True)
     some = nodes.filter("node is not null and size > 0")
     rows = some.select("node", "size", F.posexplode("prefix").alias("at", "h"))
     shared = stage_table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "similar-shared", whole=True)
     held = stage_table(rows.join(shared, "h"), "similar-held", whole=True)
-    lists = stage_table(held.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("h").alias("all")), "similar-lists", whole=True)
+    lists = stage_table(held.groupBy("node").agg(F.first("size").alias("size"), F.collect_list("h").alias("all")).join(some.select("node", "odd"), "node"), "similar-lists", whole=True)
     # most of a large group hangs together by its signatures and the small groups of its shingles; what is connected by then need not meet
     found = _compared(docs, lists, _signature_pairs(some.select("node", "fp")).unionByName(_first_pairs(held, similarity)).distinct(), similarity)
     roots = stage_table(components(found), "similar-roots")
-    found = _compared(docs, lists, _across(held, roots, similarity), similarity)
+    found = _compared(docs, lists, _across(held, lists, roots, similarity), similarity)
     for end in ("a", "b"):  # links between the components found so far
         found = found.join(roots.select(F.col("node").alias(end), "root"), end, "left").select(F.coalesce("root", end).alias(end), "b" if end == "a" else "a")
     tops = components(found.distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))

@@ -468,6 +468,20 @@ def test_simhash(docs, messy, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_parities():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 300, 5000):
+        x, y = (rng.integers(0, 2**64, n + 3, dtype=np.uint64) for _ in range(2))
+        y[: n * 9 // 10] = x[: n * 9 // 10]
+        odd = [simhash.parities(np.unique(h)).view(np.uint64) for h in (x, y)]
+        bits = [np.unpackbits(o.view(np.uint8), bitorder="little") for o in odd]
+        for b, h in zip(bits, (x, y), strict=True):
+            assert b.tolist() == [sum(1 for v in h if v % simhash.PARITY_BITS == at) % 2 for at in range(simhash.PARITY_BITS)] if n < 300 else b.sum() % 2 == len(h) % 2
+        folded = [np.bitwise_xor.reduce(o.reshape(-1, simhash.FOLDED_BITS // 64)) for o in odd]
+        only = len(set(x.tolist()) ^ set(y.tolist()))
+        assert np.bitwise_count(folded[0] ^ folded[1]).sum() <= np.bitwise_count(odd[0] ^ odd[1]).sum() <= only
+
+
 def test_similar_documents(docs, messy, empty, spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect() if r.doc_id is not None}
     by_id = {d: t for d, t, *_ in messy if d is not None}
