@@ -4,7 +4,9 @@
 not at all. It holds the table's state after the commit (schema, constraints, indexes, partitions, data files, deletion
 files) and what the commit added. A file that no commit names does not exist for readers, so a crash between writing
 data and committing leaves the table as it was. `_checkpoint/<version>.json` holds all tables' states, so that the log
-before it can go once no replica needs it.
+before it can go once no replica needs it. A checkpoint is made every CHECKPOINT_EVERY commits; what the one before it covers
+goes then by itself, so a writer that is less far behind still meets the commit that was first, and one that is further
+behind meets the checkpoint. Both kinds of files begin with a checksum of the rest; a damaged one is an error, not a shorter log.
 
 Data files are never changed. A deletion file lists (file, row) of dead rows; a read takes them out of the data files that
 have any by an anti-join, and leaves the other files' plan as it is. New rows are written before they are checked, so their
@@ -18,6 +20,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+import zlib
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 from urllib.parse import unquote
@@ -144,6 +147,19 @@ def load(d: dict | None) -> State | None:
     )
 
 
+def seal(record: dict) -> str:
+    """A record of the log, one line: the checksum of the JSON text, then the text."""
+    body = json.dumps(record)
+    return f"{zlib.crc32(body.encode()):08x} {body}"
+
+
+def unseal(text: str, name: str = "a record of the log") -> dict:
+    mark, _, body = text.partition(" ")
+    if mark != f"{zlib.crc32(body.encode()):08x}":
+        raise EngineError(f"{name} is damaged")
+    return json.loads(body)
+
+
 class Conflict(EngineError):
     """Another writer has committed first."""
 
@@ -165,13 +181,19 @@ class Store:
         return [int(n.removesuffix(".json")) for n in self.files.names("_changes") if n.endswith(".json")]
 
     def change(self, version: int) -> dict:
-        return json.loads(self.files.read(self._log(version)))
+        return self._record(self._log(version))
+
+    def _record(self, name: str) -> dict:
+        return unseal(self.files.read(name), name)
+
+    def _checkpoints(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.files.names("_checkpoint") if n.endswith(".json")]
 
     def refresh(self) -> None:
         """Recovery and catching up: the last checkpoint, then every commit after it."""
-        points = [int(n.removesuffix(".json")) for n in self.files.names("_checkpoint") if n.endswith(".json")]
+        points = self._checkpoints()
         if points and points[-1] > self.version:
-            found = json.loads(self.files.read(f"_checkpoint/{points[-1]:020d}.json"))
+            found = self._record(f"_checkpoint/{points[-1]:020d}.json")
             self.tables, self.version = {k: load(v) for k, v in found.items()}, points[-1]
         for version in self.versions():
             if version == self.version + 1:
@@ -188,14 +210,21 @@ class Store:
         before = self.tables.get(table)
         old = {f.name for x in ([before] if before else []) for f in (*x.files, *x.deletions)}
         change = {"version": self.version + 1, "table": table, "op": op, "rows": rows, "state": dump(state), "added": [f.name for f in (*state.files, *state.deletions) if f.name not in old] if state else []}
-        if not self.files.create(self._log(self.version + 1), json.dumps(change)):
+        # a name may be free again because a checkpoint has taken over what it held
+        if max(self._checkpoints(), default=0) > self.version or not self.files.create(self._log(self.version + 1), seal(change)):
             raise Conflict(f"another writer has committed version {self.version + 1}")
         self.follow(change)
         if self.version % CHECKPOINT_EVERY == 0:
-            self.checkpoint()
+            self.shorten()
 
     def checkpoint(self) -> None:
-        self.files.create(f"_checkpoint/{self.version:020d}.json", json.dumps({k: dump(v) for k, v in self.tables.items()}))
+        self.files.create(f"_checkpoint/{self.version:020d}.json", seal({k: dump(v) for k, v in self.tables.items()}))
+
+    def shorten(self) -> None:
+        """Makes a checkpoint; the log up to CHECKPOINT_EVERY commits before it, and all but two checkpoints, go."""
+        self.truncate_log(keep=CHECKPOINT_EVERY)
+        for version in self._checkpoints()[:-2]:
+            self.files.delete(f"_checkpoint/{version:020d}.json")
 
     def register(self, replica: str, version: int) -> None:
         """Notes that a replica has applied everything up to a version."""
@@ -218,13 +247,13 @@ class Store:
         first = self.needed_from()
         return {name for v in self.versions() if first is not None and v >= first for name in self.change(v)["added"]}
 
-    def truncate_log(self, needed_from: int | None = None) -> None:
-        """Drops log files that the last checkpoint covers, but keeps those from the version that a replica still needs."""
+    def truncate_log(self, needed_from: int | None = None, keep: int = 0) -> None:
+        """Drops log files that a new checkpoint covers, but keeps the last `keep` and those from the version that a replica still needs."""
         self.checkpoint()
         if needed_from is None:
             needed_from = self.needed_from()
         for version in self.versions():
-            if version <= self.version and (needed_from is None or version < needed_from):
+            if version <= self.version - keep and (needed_from is None or version < needed_from):
                 self.files.delete(self._log(version))
 
     # reading
