@@ -77,4 +77,6 @@ class Files:
         return self._fs.exists(self._path(name))
 
     def copy(self, name: str, to: Files) -> None:
+        """A file, or a folder with all in it; what an earlier try may have left there goes first."""
+        to.delete(name)
         self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(name), to._fs, to._path(name), False, self._conf)

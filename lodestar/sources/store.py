@@ -65,11 +65,27 @@ class IndexInfo:
 
 @dataclass(frozen=True)
 class FileInfo:
-    """A data file or a folder of deletion files: name below the root, partition; of a deletion the data files that it has rows of."""
+    """A data file or a folder of deletion files: name below the root, partition; of a deletion the data files that it has rows of.
+
+    ranges: of a data file (column, smallest, largest value) of the whole numbers, dates and times among keys and indexes.
+    """
 
     name: str
     partition: str | None = None
     of: tuple[str, ...] = ()
+    ranges: tuple[tuple[str, Any, Any], ...] = ()
+
+    def may_hold(self, conditions: list[tuple[str, str, Any]]) -> bool:
+        """Whether the ranges leave room for a row with all conditions (column, operator, value)."""
+        return all(_overlaps(low, high, op, value) for c, low, high in self.ranges for column, op, value in conditions if c == column)
+
+
+def _overlaps(low: Any, high: Any, op: str, value: Any) -> bool:
+    if low is None or value is None:  # nulls satisfy no comparison
+        return False
+    if type(value) is not type(low):  # other types compare by Spark's rules
+        return True
+    return {"=": low <= value <= high, "<": low < value, "<=": low <= value, ">": high > value, ">=": high >= value}.get(op, True)
 
 
 @dataclass(frozen=True)
@@ -126,6 +142,8 @@ def dump(state: State | None) -> dict | None:
     for c in d["columns"]:
         c["default"] = _plain(c["default"])
     d["partitions"] = [[n, _plain(b), x] for n, b, x in d["partitions"]]
+    for f in d["files"]:
+        f["ranges"] = [[c, _plain(low), _plain(high)] for c, low, high in f["ranges"]]
     return d
 
 
@@ -139,8 +157,8 @@ def load(d: dict | None) -> State | None:
         tuple(IndexInfo(i["name"], tuple(i["columns"]), i["unique"]) for i in d["indexes"]),
         d["partition_by"],
         tuple((n, _value(b), x) for n, b, x in d["partitions"]),
-        tuple(FileInfo(f["name"], f["partition"]) for f in d["files"]),
-        tuple(FileInfo(**{**f, "of": tuple(f.get("of", ()))}) for f in d["deletions"]),
+        tuple(FileInfo(f["name"], f["partition"], (), tuple((c, _value(low), _value(high)) for c, low, high in f["ranges"])) for f in d["files"]),
+        tuple(FileInfo(f["name"], f["partition"], tuple(f["of"])) for f in d["deletions"]),
         d["rows"],
         d["dead"],
         d["epoch"],
@@ -264,12 +282,12 @@ class Store:
         return self.tables[table]
 
     def read(self, table: str, conditions: list[tuple[str, str, Any]] = (), positions: bool = False) -> DataFrame:
-        """The live rows; conditions (column, operator, value) only spare partitions. positions: with file and row."""
+        """The live rows; conditions (column, operator, value) only spare files. positions: with file and row."""
         state = self.state(table)
-        names = [f.name for f in state.files]
+        names = [f.name for f in state.files if f.may_hold(conditions)]
         if state.partition_by and (mine := [(op, v) for c, op, v in conditions if c == state.partition_by]):
             kept = set(partitions.prune(list(state.partitions), mine))
-            names = [f.name for f in state.files if f.partition in kept]
+            names = [f.name for f in state.files if f.partition in kept and f.may_hold(conditions)]
         columns = [c.name for c in state.columns]
         if not names:
             df = self.spark.createDataFrame([], state.schema)
@@ -324,7 +342,18 @@ class Store:
         (writer.partitionBy(*writer_columns) if writer_columns else writer).parquet(self.files.uri(folder))
         names = self.files.parquet(folder)
         part = lambda n: next((x.removeprefix("__part=") for x in n.split("/") if x.startswith("__part=")), None)
-        return tuple(FileInfo(n, part(n)) for n in names)
+        ranges = self._ranges(state, names)
+        return tuple(FileInfo(n, part(n), (), ranges.get(n.partition("/")[2], ())) for n in names)
+
+    def _ranges(self, state: State, names: list[str]) -> dict[str, tuple[tuple[str, Any, Any], ...]]:
+        """The ranges of new files, one row for each, read from the columns in question only."""
+        keyed = {c for x in (*state.constraints, *state.indexes) for c in x.columns}
+        some = [c.name for c in state.columns if c.name in keyed and c.type in ("INT", "BIGINT", "DATE", "TIMESTAMP")]
+        if not some or not names:
+            return {}
+        ends = (f(c).alias(f"{end}_{i}") for i, c in enumerate(some) for end, f in (("low", F.min), ("high", F.max)))
+        found = self._located(state, names).groupBy(FILE).agg(*ends).collect()
+        return {unquote(r[FILE]): tuple((c, r[f"low_{i}"], r[f"high_{i}"]) for i, c in enumerate(some)) for r in found}
 
     def _delete_rows(self, state: State, where: DataFrame) -> FileInfo:
         """Writes the (file, row) pairs as a deletion file."""
