@@ -17,6 +17,8 @@ BLOCK_BYTES = 1 << 19
 #: Rows of a batch between Spark and Python; documents are long, so the default of 10,000 would hold much at once.
 BATCH_ROWS = 1000
 FILES_PER_CORE = 8
+#: Rows that a task takes at least of a stage table whose rows are counted.
+TASK_ROWS = 1 << 14
 
 
 def through_python(df: DataFrame, function, schema: str) -> DataFrame:
@@ -82,14 +84,18 @@ def finish(df: DataFrame, name: str, since: int, whole: bool = False) -> DataFra
     return out
 
 
-def stage_table(df: DataFrame, name: str, whole: bool = False) -> DataFrame:
+def stage_table(df: DataFrame, name: str, whole: bool = False, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and survives a lost executor.
 
     whole: rows come from whole texts or from shuffles of their size, so each partition is a task. Others, which are small
     beside the texts, are written by FILES_PER_CORE tasks a core at most, for fewer small files.
+    rows: how many rows it is made from. So many tasks as these ask for then write it, one a core at least: little data in
+    many partitions makes few files, and much data keeps its partitions.
     """
     spark = df.sparkSession
-    if not whole:
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+    elif not whole:
         df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

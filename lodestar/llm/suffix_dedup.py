@@ -304,12 +304,13 @@ def crowded_spans(units: DataFrame, lengths: dict[bool, int], most: int = GROUP,
     out = None
     for w in CELLS:
         cells = stage_table(through_python(units, lambda it, w=w: _cells(it, lengths, w), f"core binary, full binary, {_UNIT_SQL}"), "cells", whole=True)
-        kinds = stage_table(cells.groupBy("words", "full").agg(F.min("core").alias("core"), F.count(F.lit(1)).alias("all"), F.min(F.struct("row", "at", "n", "lead", "single", "body")).alias("one")), "cell-kinds", whole=True)
+        kinds = stage_table(cells.groupBy("words", "full").agg(F.min("core").alias("core"), F.count(F.lit(1)).alias("all"), F.min(F.struct("row", "at", "n", "lead", "single", "body")).alias("one")), "cell-kinds", rows=cells.count())
+        n_kinds = kinds.count()
         last = F.col("at") + F.col("n") + F.when(F.col("words"), lengths.get(True, 0) - 1).otherwise(lengths.get(False, 0) - 1)
         found = cells.filter("single").join(kinds.filter("all > 1").select("words", "full"), ["words", "full"], "left_semi").select("words", "row", F.col("at").cast("long").alias("at"), last.cast("long").alias("end"))
-        cores = stage_table(kinds.groupBy("words", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "cell-cores", whole=True)
+        cores = stage_table(kinds.groupBy("words", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "cell-cores", rows=n_kinds)
         left = kinds.join(cores, ["words", "core"]).select("words", "core", "kinds", "one.row", "one.at", "one.n", "one.lead", (F.col("one.single") & (F.col("all") == 1)).alias("single"), "one.body")
-        left = stage_table(left, "cell-groups", whole=True)
+        left = stage_table(left, "cell-groups", rows=n_kinds)
         found = found.unionByName(_searched(left.filter(F.col("kinds") <= most), "core", lengths, block))
         out = found if out is None else out.unionByName(found)
         units = left.filter(F.col("kinds") > most).drop("core", "kinds")
@@ -357,13 +358,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     else:
         ids = ids.withColumn("row", F.col("doc_id").cast("long"))
     found = stage_table(through_python(ids.filter(F.octet_length("text") >= min(length, 2 * passage - 1)).select("row", "text"), lambda it: _anchor_rows(it, sizes), "words boolean, anchor long, c1 long, c2 long, row long, places array<int>, n int, lead int"), "anchors", whole=True)
+    n_found = found.count()
     key, context = ["words", "anchor"], ["words", "anchor", "c1", "c2"]
     groups = found.groupBy(*key).agg(F.sum(F.size("places")).alias("all"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2"))).filter("all > 1")
-    groups = stage_table(groups.select(*key, ((F.col("min_c1") == F.col("max_c1")) & (F.col("min_c2") == F.col("max_c2"))).alias("same")), "anchor-groups", whole=True)
-    shared = stage_table(found.join(groups, key), "anchors-shared", whole=True)
+    groups = stage_table(groups.select(*key, ((F.col("min_c1") == F.col("max_c1")) & (F.col("min_c2") == F.col("max_c2"))).alias("same")), "anchor-groups", rows=n_found)
+    shared = stage_table(found.join(groups, key), "anchors-shared", rows=n_found)
     # anchors whose contexts differ: one of each context, and how often it is there
-    contexts = stage_table(shared.filter("not same").groupBy(*context).agg(F.sum(F.size("places")).alias("all"), F.min(F.struct("row", F.get("places", F.lit(0)).alias("at"), "n", "lead")).alias("one")), "contexts", whole=True)
-    crowds = stage_table(contexts.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds")), "context-counts", whole=True)
+    contexts = stage_table(shared.filter("not same").groupBy(*context).agg(F.sum(F.size("places")).alias("all"), F.min(F.struct("row", F.get("places", F.lit(0)).alias("at"), "n", "lead")).alias("one")), "contexts", rows=shared.count())
+    crowds = stage_table(contexts.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds")), "context-counts", rows=contexts.count())
     wants = contexts.join(crowds, key).select("one.row", F.struct(*key, "one.at", "one.n", "one.lead", (F.col("kinds") > most).alias("many"), (F.col("all") == 1).alias("single")).alias("want"))
     wants = wants.groupBy("row").agg(F.collect_list("want").alias("wants"))
     bodies = stage_table(through_python(ids.select("row", "text").join(wants, "row"), lambda it: _cut_contexts(it, lengths), f"anchor long, many boolean, {_UNIT_SQL}"), "context-bodies", whole=True)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, language_id, license_scan, line_dedup, multiset_hash, packing, quality, simhash, suffix_dedup, warc
+from lodestar.llm import decontamination, language_id, license_scan, line_dedup, multiset_hash, packing, quality, shared, simhash, suffix_dedup, warc
 from lodestar.llm.components import components
 from lodestar.llm.shared import BitFilter
 
@@ -276,6 +276,32 @@ def test_suffix_dedup(spark, docs, messy, empty, most):
         assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_little_data_in_many_partitions_makes_few_files(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(97, 105, 200).astype(np.uint8)
+    texts = []
+    for _ in range(60):
+        x = base.copy()
+        x[rng.integers(0, 200, 4)] = 122
+        texts.append((rng.integers(97, 105, 60).astype(np.uint8).tobytes() + x.tobytes()).decode())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, since = {k: spark.conf.get(k) for k in held}, shared.mark()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, 40, 8, 6, passage=11, passage_gram=3).collect()]
+        many = shared.stage_table(spark.range(8 * shared.TASK_ROWS, numPartitions=5), "many", rows=8 * shared.TASK_ROWS)
+        assert len(many.inputFiles()) == 5  # much data keeps its partitions
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted(plain_repeats([t.encode() for t in texts], 40))
+    files = {p: spark.read.parquet(p) for p in shared._written[since:]}
+    files = {p: len(d.inputFiles()) for p, d in files.items() if re.search(r"/(anchor-groups|anchors-shared|contexts|context-counts|cell-kinds|cell-cores|cell-groups)-", p)}
+    assert len(files) >= 7 and max(files.values()) <= spark.sparkContext.defaultParallelism, files
+
+
 def test_words_of_a_buffer():
     texts = [b"", b"one", b" two  three\n", b"\x0b", b"four", b"five six", b""]
     off = np.r_[0, np.cumsum([len(t) for t in texts])]
